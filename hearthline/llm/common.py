@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: Bits of the membership filter that `maybe_in` broadcasts: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 #: Word hashes and encodings that one Python worker keeps before it starts over.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Most bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,9 +47,15 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold, however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -90,23 +98,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose `column` may be among ids' values: every match and a few others.
-
-    A bitmap of FILTER_BITS bits is broadcast, so its size does not depend on the data; when it
-    fills up it only stops sparing work. An exact join must follow.
-    """
+def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
     words = (
-        ids.select(F.col(column).cast("long").alias(column)).where(F.col(column).isNotNull())
-        .select(slot.alias("_slot"))
+        ids.where(F.col(column).isNotNull()).select(slot.alias("_slot"))
         .groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     )
     return (
-        df.withColumn("_slot", slot)
-        .withColumn("_word", F.expr("_slot div 64"))
-        .join(F.broadcast(words), "_word")
-        .where(F.col("_bits").bitwiseAND(bit) != 0)
+        df.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64"))
+        .join(F.broadcast(words), "_word", "left")
+        .withColumn("_maybe", F.col(column).isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
         .drop("_word", "_slot", "_bits")
     )
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` may be among ids' values: every match and a few others.
+
+    A bitmap of FILTER_BITS bits is broadcast, so its size does not depend on the data; when it
+    fills up it only stops sparing work. An exact join must follow. `column` is a long in both.
+    """
+    return _marked(df, ids, column).where("_maybe").drop("_maybe")
+
+
+def surely_not_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The other rows of df: those of which `maybe_in` is sure, and those with a null."""
+    return _marked(df, ids, column).where("NOT _maybe").drop("_maybe")

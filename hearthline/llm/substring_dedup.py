@@ -70,8 +70,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
 
     def cut(batches):
         for pdf in batches:
-            done = [kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "text": [b" ".join(w).decode() for w, _ in done], "n_removed": [n for _, n in done]})
+            done = [(b" ".join(w).decode(), n) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
+            yield pd.DataFrame({"key": pdf["key"], "text": [x for x, _ in done], "n_removed": [n for _, n in done]})
 
     return touched(docs, ranges).mapInPandas(cut, "key long, text string, n_removed long").dropDuplicates(["key"])
 
@@ -82,13 +82,13 @@ def digest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
     def base(batches):
         for pdf in batches:
-            words = [t.encode().split() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"].astype("Int64"), "n_words": [len(w) for w in words], "whole": [sha(b" ".join(w)) for w in words]})
+            rows = [(len(w), sha(b" ".join(w))) for w in (t.encode().split() for t in pdf["text"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"].astype("Int64"), "n_words": [n for n, _ in rows], "whole": [x for _, x in rows]})
 
     def cut(batches):
         for pdf in batches:
-            done = [kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "n_removed": [n for _, n in done], "kept": [sha(b" ".join(w)) for w, _ in done]})
+            done = [(n, sha(b" ".join(w))) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
+            yield pd.DataFrame({"key": pdf["key"], "n_removed": [n for n, _ in done], "kept": [x for _, x in done]})
 
     every = docs.select("doc_id", "key", "text").mapInPandas(base, "doc_id long, key long, n_words long, whole string")
     some = touched(docs, removals(docs, per_doc, window, gram)).mapInPandas(cut, "key long, n_removed long, kept string").dropDuplicates(["key"])

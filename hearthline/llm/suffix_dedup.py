@@ -99,8 +99,8 @@ def digest(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
     def cut(batches):
         for pdf in batches:
-            done = [kept_bytes(t.encode(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "n_removed": [x[1] for x in done], "n_spans": [x[2] for x in done], "kept": [sha(x[0]) for x in done]})
+            done = [(n, spans, sha(kept)) for kept, n, spans in (kept_bytes(t.encode(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
+            yield pd.DataFrame({"key": pdf["key"], "n_removed": [x[0] for x in done], "n_spans": [x[1] for x in done], "kept": [x[2] for x in done]})
 
     every = docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     some = touched(docs, removals(docs, length, gram)).mapInPandas(cut, "key long, n_removed long, n_spans long, kept string").dropDuplicates(["key"])
