@@ -1,14 +1,72 @@
-"""The corpus pipeline: five stages, each an operator of hearthline.llm, over documents."""
+"""The corpus pipeline over documents: quality rules, line dedup, near dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns that it got; the last
+returns the packed pieces. Decisions travel as rows of one number, a hash of doc_id and text; texts are
+shuffled only where a decision may concern them. Documents left without a word by a dedup stage go.
+
+Null texts count as empty and fail the quality rules; rows without doc_id are judged by quality rules and packed, and
+no dedup stage changes them; equal rows share their fate; empty tables pass through; further columns pass through
+unchanged (n_chars follows the text).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from hearthline.llm import line_dedup, minhash, packing, quality, substring_dedup
+from hearthline.llm.common import read, replaced, table, without
+from hearthline.llm.queries import tokenizer_file
+
+ROW = "_row"
+
+
+def _rows(docs):
+    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+
+
+def _edited(docs, edits):
+    """docs with the edited texts, without those in which no word is left."""
+    edits = table(edits.select(F.col("row").alias(ROW), "text"))
+    empty = edits.where(F.length(F.translate("text", quality.SPACES, "")) == 0)
+    return without(replaced(_rows(docs), edits, ROW), empty, ROW).select(docs.columns)
+
+
+def quality_rules(spark, docs, sf_dir):
+    failed = quality.judge(docs).where("NOT kept").select(F.col("row").alias(ROW))
+    return without(_rows(docs), failed, ROW).select(docs.columns)
+
+
+def lines(spark, docs, sf_dir):
+    return _edited(docs, line_dedup.dedup(docs))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    copies = minhash.classes(docs).where("NOT kept").select(F.col("row").alias(ROW))
+    return without(_rows(docs), copies, ROW).select(docs.columns)
+
+
+def substrings(spark, docs, sf_dir):
+    return _edited(docs, substring_dedup.dedup(docs))
+
+
+def packed(spark, docs, sf_dir):
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", lines),
+    ("minhash", near_duplicates),
+    ("substring_dedup", substrings),
+    ("packing", packed),
+]
 
+#: SQL can't express packing or MinHash; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -125,3 +125,18 @@ def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def surely_not_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The other rows of df: those of which `maybe_in` is sure, and those with a null."""
     return _marked(df, ids, column).where("NOT _maybe").drop("_maybe")
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` (a long) is not in ids; only rows that may be in are shuffled."""
+    ids = table(ids.select(column).distinct())
+    return surely_not_in(df, ids, column).union(maybe_in(df, ids, column).join(ids, column, "left_anti").select(df.columns))
+
+
+def replaced(df: DataFrame, edits: DataFrame, column: str) -> DataFrame:
+    """df with the texts of edits (column, text) put in, by `column` (a long); n_chars follows if df has it."""
+    edits = table(edits.select(column, F.col("text").alias("_new")).dropDuplicates([column]))
+    maybe = maybe_in(df, edits, column).join(edits, column, "left").withColumn("text", F.coalesce("_new", "text"))
+    if "n_chars" in df.columns:
+        maybe = maybe.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
+    return surely_not_in(df, edits, column).union(maybe.select(df.columns))

@@ -59,15 +59,15 @@ def kept_lines(lines: list, ranges) -> tuple[list, int]:
 
 
 def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The texts that lose lines: key, text, n_removed."""
+    """The texts that lose lines: key, row (hash of doc_id and text), text, n_removed."""
     docs, _ = keyed(documents)
 
     def cut(batches):
         for pdf in batches:
             done = [kept_lines(t.split("\n"), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "text": ["\n".join(x) for x, _ in done], "n_removed": [n for _, n in done]})
+            yield pd.DataFrame({"key": pdf["key"], "row": pdf["row"], "text": ["\n".join(x) for x, _ in done], "n_removed": [n for _, n in done]})
 
-    return touched(docs, removals(docs, window)).mapInPandas(cut, "key long, text string, n_removed long").dropDuplicates(["key"])
+    return touched(docs, removals(docs, window)).mapInPandas(cut, "key long, row long, text string, n_removed long").dropDuplicates(["key"])
 
 
 def digest(documents: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -276,9 +276,10 @@ def merged(packed, n: int) -> list[tuple[int, int]]:
 
 
 def touched(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Texts of the documents that have ranges, with them: (key, text, ranges)."""
+    """Texts of the documents that have ranges, with them: (key, row, text, ranges); row is a hash of doc_id and text."""
     found = table(collected(ranges))
-    return maybe_in(docs.where("key IS NOT NULL").select("key", "text"), found, "key").join(found, "key")
+    texts = docs.where("key IS NOT NULL").select("key", F.xxhash64("doc_id", "text").alias("row"), "text")
+    return maybe_in(texts, found, "key").join(found, "key")
 
 
 def sha(data: bytes) -> str:

@@ -64,16 +64,16 @@ def kept_words(words: list[bytes], ranges) -> tuple[list[bytes], int]:
 
 
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The texts that lose words: doc_id, key, text (kept words joined by one space), n_removed."""
+    """The texts that lose words: key, row (hash of doc_id and text), text (kept words joined by one space), n_removed."""
     docs, per_doc = keyed(documents)
     ranges = removals(docs, per_doc, window, gram)
 
     def cut(batches):
         for pdf in batches:
             done = [(b" ".join(w).decode(), n) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
-            yield pd.DataFrame({"key": pdf["key"], "text": [x for x, _ in done], "n_removed": [n for _, n in done]})
+            yield pd.DataFrame({"key": pdf["key"], "row": pdf["row"], "text": [x for x, _ in done], "n_removed": [n for _, n in done]})
 
-    return touched(docs, ranges).mapInPandas(cut, "key long, text string, n_removed long").dropDuplicates(["key"])
+    return touched(docs, ranges).mapInPandas(cut, "key long, row long, text string, n_removed long").dropDuplicates(["key"])
 
 
 def digest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -63,7 +63,7 @@ def test_packing(spark):
             assert o == end
             end += n
         assert end <= 2048
-    assert len(by) <= sum(r.length for r in got) // 2048 + 2
+    assert len(by) <= 1.12 * sum(r.length for r in got) / 2048
     assert packing.pack(df.limit(0), TOKENIZER).collect() == []
 
 
