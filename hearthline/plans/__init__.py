@@ -1,0 +1,3 @@
+"""Named queries by topic; importing this package registers them all."""
+
+from hearthline.plans import corpus, dialogues, evaluation, graphs, ledger, relational, traces  # noqa: F401
