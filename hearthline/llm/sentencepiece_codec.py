@@ -6,8 +6,8 @@ from which no completion exists. Two adjacent pieces are compatible if re-mergin
 just these two; verdicts are kept. Text is first cut where no piece of the vocabulary can span
 (before a space mark, around line ends), so that encodings of frequent cuts are kept, CACHE_WORDS at most.
 
-Equal merge scores (runs of spaces in some models) break the rule that compatible neighbours decide a
-whole: a cut in which a place has equal scores to choose from is re-merged as a whole.
+Pieces of equal score (runs of spaces in some models) merge leftmost first; re-merging follows that, and tests hold
+such runs against the library.
 
 Defined cases: null texts are empty; an empty text has the begin and end ids only; unknown characters become byte
 pieces; further columns are not read; rows are independent, so ties and repeats change nothing.
@@ -49,9 +49,6 @@ class Codec:
         unk = m.trainer_spec.unk_id
         self.fallback = lambda c: [byte_ids[b] for b in c.encode()] if len(byte_ids) == 256 else [unk]
         self.surface = [b"" if p.type == CONTROL else m.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in m.pieces]
-        scores = sorted(self.scores.values())
-        self.equal = {a for a, b in zip(scores, scores[1:], strict=False) if a == b}
-        self.tied = {p for p, s in self.scores.items() if s in self.equal}
         self.machine = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1:
@@ -88,8 +85,6 @@ class Codec:
             at = end - len(piece) + 1
             if len(piece) > len(longest[at]):
                 longest[at] = piece
-            if piece in self.tied:
-                return self.merge_long(cut)
         alive = (1 << len(cut) + 1) - 1
         out: list[str] = []
         at, piece = 0, longest[0]
@@ -110,35 +105,6 @@ class Codec:
                 return out
             piece = longest[at]
 
-    def merge_long(self, cut: str) -> list[str]:
-        """merge() with a heap, for cuts of any length."""
-        import heapq
-
-        n = len(cut)
-        sym, nxt, prv = list(cut), [*range(1, n), -1], [-1, *range(n - 1)]
-        heap: list = []
-
-        def push(i):
-            j = nxt[i]
-            if j >= 0 and (s := self.scores.get(sym[i] + sym[j])) is not None:
-                heapq.heappush(heap, (-s, i, j, len(sym[i]) + len(sym[j])))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, j, size = heapq.heappop(heap)
-            if not sym[i] or nxt[i] != j or not sym[j] or len(sym[i]) + len(sym[j]) != size:
-                continue
-            sym[i] += sym[j]
-            sym[j] = ""
-            nxt[i] = nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            if prv[i] >= 0:
-                push(prv[i])
-            push(i)
-        return [s for s in sym if s]
-
     def cut_ids(self, cut: str) -> list[int]:
         out: list[int] = []
         for p in self.pieces(cut):

@@ -44,7 +44,14 @@ def test_backtracking_alone_agrees_with_merging(both):
     for _ in range(4000):
         cut = "".join(r.choice(pieces) for _ in range(r.randint(1, 8)))
         assert own.pieces(cut) == own.merge(cut)
-        assert own.merge_long(cut) == own.merge(cut)
+
+
+def test_runs_of_spaces(both):
+    own, lib = both
+    for n in range(90):
+        for end in ("", "a", "the", "x\n", " \n  b"):
+            t = " " * n + end
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True)
 
 
 def test_rows(spark):
