@@ -79,6 +79,17 @@ def runs(t: np.ndarray, window: int, gram: int, powers: Powers):
     return low[start].view(np.int64), code.view(np.int64), start, n
 
 
+#: Windows of a text that are hashed at once; longer texts go in pieces, so memory is bounded.
+PIECE = 1 << 20
+
+
+def piecewise(n: int, tokens, window: int, gram: int, powers: Powers, piece: int = PIECE):
+    """runs() of n tokens, where tokens(a, b) gives the hashes of tokens a to b; runs end at the pieces' ends."""
+    for a in range(0, n - window + 1, piece):
+        mini, code, start, k = runs(tokens(a, min(n, a + piece + window - 1)), window, gram, powers)
+        yield mini, code, start + a, k
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) with a long `key` that orders rows as (doc_id, text) does, and keys per doc_id.
 

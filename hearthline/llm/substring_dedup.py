@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import word_cache, word_hashes
-from hearthline.llm.repeats import Powers, compare, keyed, merged, runs, settle, sha, touched
+from hearthline.llm.repeats import Powers, compare, keyed, merged, piecewise, settle, sha, touched
 
 WINDOW = 50
 GRAM = 8
@@ -31,8 +31,8 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             keys, out = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = runs(word_hashes(text.as_py().encode().split(), cache), window, gram, powers)
-                if found is not None:
+                words = text.as_py().encode().split()
+                for found in piecewise(len(words), lambda a, b, words=words: word_hashes(words[a:b], cache), window, gram, powers):
                     keys.append(np.full(len(found[0]), key, np.int64))
                     out.append(found)
             if out:

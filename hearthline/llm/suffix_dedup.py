@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.repeats import Powers, compare, keyed, merged, prefix_sums, runs, settle, sha, touched, window_hashes
+from hearthline.llm.repeats import Powers, compare, keyed, merged, piecewise, prefix_sums, settle, sha, touched, window_hashes
 
 LENGTH = 100
 GRAM = 20
@@ -34,14 +34,14 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             keys, out, size = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = runs(_BYTES[np.frombuffer(text.as_py().encode(), np.uint8)], length, gram, powers)
-                if found is not None:
+                data = np.frombuffer(text.as_py().encode(), np.uint8)
+                for found in piecewise(len(data), lambda a, b, data=data: _BYTES[data[a:b]], length, gram, powers):
                     keys.append(np.full(len(found[0]), key, np.int64))
                     out.append(found)
                     size += len(found[0])
-                if size > 100_000:
-                    yield rows(keys, out)
-                    keys, out, size = [], [], 0
+                    if size > 100_000:
+                        yield rows(keys, out)
+                        keys, out, size = [], [], 0
             if out:
                 yield rows(keys, out)
 

@@ -73,3 +73,15 @@ def test_texts(spark):
     got = {r.key: r.text for r in substring_dedup.dedup(frame(spark, docs)).collect()}
     want = {d: (n, s) for d, _, n, s in brute.substring(docs)}
     assert got and all(brute.sha(t) == want[d][1] for d, t in got.items()) and set(got) == {d for d, (n, _) in want.items() if n}
+
+
+def test_pieces_of_long_texts_give_the_same_windows():
+    import numpy as np
+
+    from hearthline.llm.repeats import Powers, piecewise
+
+    t = np.random.default_rng(1).integers(0, 1 << 60, 700, np.uint64)
+    for piece in (1 << 20, 97, 1):
+        starts = [int(a) + i for _, _, start, n in piecewise(len(t), lambda a, b: t[a:b], 50, 8, Powers(), piece) for a, k in zip(start, n) for i in range(k)]
+        assert starts == list(range(651))
+    assert list(piecewise(49, lambda a, b: t[a:b], 50, 8, Powers())) == []
