@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import small_batches
+from hearthline.llm.common import parts, small_batches
 
 K = 10
 SCALE = 1024
@@ -29,7 +29,7 @@ SCALE = 1024
 LEVELS = (1, 4, 16)
 #: Vectors in a block of candidates or queries, at most.
 BLOCK = 2048
-#: Groups that candidate blocks are dealt into.
+#: Groups that candidate blocks are dealt into, at least; more where the cluster shuffles into more partitions.
 SLOTS = 64
 
 
@@ -118,9 +118,10 @@ def topk(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     small_batches(embeddings.sparkSession)
     vectors = quantised(embeddings)
     asked = vectors.where(F.expr(f"vec_id % {every} = 0")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+    n = max(SLOTS, parts(embeddings.sparkSession))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = blocks(asked.select("vec_id", "v")).select(slots.alias("slot"), "dims", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("values").alias("qv"))
-    c = blocks(vectors).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(SLOTS)).cast("int"))
+    c = blocks(vectors).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
 
     def run(batches):
         best: dict = {}
