@@ -17,12 +17,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(id, depth) of nodes within `depth` steps of roots (id), at their least depth; cycles end by the anti-join."""
-    seen = frontier = roots.select("id").distinct().withColumn("depth", F.lit(0))
+    """(id, depth) of nodes within `depth` steps of roots (id), at their least depth.
+
+    Each level is a distinct set of nodes, so a cycle costs no more than the graph again at each step; levels share
+    their exchanges, and the least depth is one combining aggregate.
+    """
+    steps = edges.select("src", F.col("dst").alias("id"))
+    level = roots.select("id").distinct()
+    every = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        frontier = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.union(frontier)
-    return seen
+        level = level.withColumnRenamed("id", "src").join(steps, "src").select("id").distinct()
+        every = every.union(level.withColumn("depth", F.lit(d)))
+    return every.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
 def two_hops(edges: DataFrame) -> DataFrame:
