@@ -67,17 +67,28 @@ def parts(spark: SparkSession) -> int:
 
 
 class Cached(dict):
-    """Maps a key by `make`, keeping CACHE_WORDS results at most."""
+    """Maps a key by `make`, keeping the results of the latest CACHE_WORDS to 2 * CACHE_WORDS different keys."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
-        return value
+        self[key] = value
+
+    def fill(self, keys: set, make_many) -> None:
+        """Makes what is not kept of `keys` by one call."""
+        new = [k for k in keys if k not in self and k not in self.old]
+        for k, v in zip(new, make_many(new), strict=True):
+            self.put(k, v)
 
 
 def word_hashes(words: list[bytes], cache: Cached) -> np.ndarray:

@@ -13,6 +13,7 @@ are packed like others; further columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -28,6 +29,25 @@ END = 1
 BUCKET_ROWS = 1 << 18
 
 
+#: Texts whose new words are encoded by one call.
+SOME_TEXTS = 200
+
+_kept: dict[int, tuple] = {}
+
+
+def word_ids(shared):
+    """What encodes a word, kept over the tasks of a Python worker: a cache, and a function for many words."""
+    key = hash(shared.value)
+    if key not in _kept:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_buffer(shared.value)
+        many = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        _kept[key] = Cached(lambda w: many([w])[0]), many
+    return _kept[key]
+
+
 def tokenised(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens.
 
@@ -38,17 +58,18 @@ def tokenised(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: i
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_buffer(shared.value).encode
-        ids = Cached(lambda w: np.array(encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+        ids, many = word_ids(shared)
         last = np.array([end], "<u4").tobytes()
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                data = b"".join((*map(ids.__getitem__, text.encode().split()), last))
-                n = len(data) // 4
-                rows += [(doc_id, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
+            for at in range(0, len(pdf), SOME_TEXTS):
+                some = pdf.iloc[at : at + SOME_TEXTS]
+                words = [text.encode().split() for text in some["text"]]
+                ids.fill(set().union(*words), many)
+                for doc_id, own in zip(some["doc_id"], words, strict=True):
+                    data = b"".join((*map(ids.__getitem__, own), last))
+                    n = len(data) // 4
+                    rows += [(doc_id, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
