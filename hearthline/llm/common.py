@@ -67,11 +67,11 @@ def parts(spark: SparkSession) -> int:
 
 
 class Cached(dict):
-    """Maps a key by `make`, keeping the results of the latest CACHE_WORDS to 2 * CACHE_WORDS different keys."""
+    """Maps a key by `make`, keeping the results of the latest `limit` to 2 * `limit` different keys."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
@@ -79,7 +79,7 @@ class Cached(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value

@@ -13,7 +13,9 @@ are packed like others; further columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,12 +31,74 @@ END = 1
 BUCKET_ROWS = 1 << 18
 
 
-#: Texts whose new words are encoded by one call.
-SOME_TEXTS = 200
+#: Texts whose new words are gathered, and words that one call encodes.
+SOME_TEXTS, SOME_WORDS = 200, 200
+#: Stands between words in a call.
+MARK = "~"
+#: Words whose ids a Python worker keeps, in each of two generations: about 100 MB.
+KEPT_WORDS = 400_000
+KEPT_PARTS = 400_000
+#: How the tokenizer normalises and splits. Where it is just this, words of plain letters and marks
+#: are split here, so that their parts are encoded once; all other words go to the tokenizer whole.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ'.,;:!?\"()|#*-]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
 _kept: dict[int, tuple] = {}
 
 
+def word_encoder(tok):
+    """(cache of one word's ids, function for many words).
+
+    Many words go through one call with a mark between them, as a call costs more than a word. The mark is used only if it
+    is one id that stands apart between white space; words that hold it are encoded alone.
+    """
+    plain = lambda text: tok.encode(text, add_special_tokens=False).ids
+    raw = lambda ids: np.array(ids, "<u4").tobytes()
+    alone = lambda w: raw(plain(w.decode()))
+    mark = plain(MARK)
+    apart = len(mark) == 1 and plain(f"a {MARK} b") == plain("a") + mark + plain("b")
+
+    def some(words):
+        ids = np.array(tok.encode_batch_fast([f" {MARK} ".join([w.decode() for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == mark[0])
+        if len(cuts) != len(words) - 1:
+            return [alone(w) for w in words]
+        data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+
+    def marked(words):
+        held = MARK.encode()
+        out, at = [], 0
+        while at < len(words):
+            end = at
+            while end < len(words) and end < at + SOME_WORDS and apart and held not in words[end]:
+                end += 1
+            if end > at:
+                out += some(words[at:end])
+            else:
+                end = at + 1
+                out.append(alone(words[at]))
+            at = end
+        return out
+
+    state = json.loads(tok.to_str())
+    split = (state.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = (split[0].get("pattern") or {}).get("Regex") == PATTERN and [n["type"] for n in (state.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+    parts = Cached(alone, KEPT_PARTS)
+
+    def many(words):
+        if not known:
+            return marked(words)
+        cut = [PARTS.findall(w.decode().lower()) if SIMPLE.fullmatch(w.decode()) else None for w in words]
+        parts.fill({p.encode() for c in cut if c for p in c}, marked)
+        rest = iter(marked([w for w, c in zip(words, cut, strict=True) if c is None]))
+        return [b"".join([parts[p.encode()] for p in c]) if c else next(rest) for c in cut]
+
+    return Cached(alone, KEPT_WORDS), many
+
+
 def word_ids(shared):
     """What encodes a word, kept over the tasks of a Python worker: a cache, and a function for many words."""
     key = hash(shared.value)
@@ -42,9 +106,7 @@ def word_ids(shared):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_buffer(shared.value)
-        many = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        _kept[key] = Cached(lambda w: many([w])[0]), many
+        _kept[key] = word_encoder(Tokenizer.from_buffer(shared.value))
     return _kept[key]
 
 

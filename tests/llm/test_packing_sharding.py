@@ -106,3 +106,13 @@ def test_sharding(spark, monkeypatch):
         assert all(sorted(s) == list(range(len(s))) for s in slots) and all(len(v) == 1 for v in where.values())
     assert sharding.shard(df.limit(0)).collect() == []
     assert [x.shard for x in sharding.shard(df.limit(1)).collect()] == [0]
+
+
+def test_words_encode_as_texts():
+    tok = Tokenizer.from_file(TOKENIZER)
+    ids, many = packing.word_encoder(tok)
+    words = {w.encode() for t in texts(200, 9) for w in t.split(" ")} | {b"~", b"a~b", b"~~", "x́~".encode(), b"<|startoftext|>~", b"don't'll", b"\x1c", "İΣ".encode(), "ÀÉ.'s't".encode(), "Ä''sß'LL'd".encode(), b"a.'rex''Ve|#", b"\x00", "́".encode()}
+    words = sorted(w for w in words if w.split() == [w])
+    want = [packing.np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert many(words) == want and [ids[w] for w in words] == want and many([]) == []
+    ids.fill(set(words), many)
