@@ -56,10 +56,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[w - size : w - size + n])
 
 
-def runs(t: np.ndarray, window: int, gram: int, powers: Powers):
+def recurring(whole: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which runs, of n windows each, hold two windows with one hash."""
+    out = np.zeros(len(n), bool)
+    ordered = np.sort(whole)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(again):
+        at = np.flatnonzero(again[np.searchsorted(again, whole).clip(max=len(again) - 1)] == whole)
+        h, run = whole[at], np.repeat(np.arange(len(n)), n)[at]
+        order = np.lexsort((run, h))
+        h, run = h[order], run[order]
+        out[run[1:][(h[1:] == h[:-1]) & (run[1:] == run[:-1])]] = True
+    return out
+
+
+def runs(t: np.ndarray, window: int, gram: int, powers: Powers, within: bool = False):
     """Runs of consecutive windows that share a minimiser: (minimiser, run hash, start, windows).
 
-    A run is `window` windows long at most, so the hashes of its first and last window cover it.
+    A run is `window` windows long at most, so the hashes of its first and last window cover it. With
+    `within`, a fifth array tells which runs hold two equal windows.
     """
     if len(t) < window:
         return None
@@ -76,18 +91,19 @@ def runs(t: np.ndarray, window: int, gram: int, powers: Powers):
         n = np.minimum(left, window)
     whole = window_hashes(sums, window, powers)
     code = mix(whole[start] * np.uint64(0xA0761D6478BD642F) + whole[start + n - 1] * np.uint64(0xE7037ED1A0B428DB) + n.astype(np.uint64))
-    return low[start].view(np.int64), code.view(np.int64), start, n
+    found = low[start].view(np.int64), code.view(np.int64), start, n
+    return (*found, recurring(whole, n)) if within else found
 
 
 #: Windows of a text that are hashed at once; longer texts go in pieces, so memory is bounded.
 PIECE = 1 << 20
 
 
-def piecewise(n: int, tokens, window: int, gram: int, powers: Powers, piece: int = PIECE):
+def piecewise(n: int, tokens, window: int, gram: int, powers: Powers, piece: int = PIECE, within: bool = False):
     """runs() of n tokens, where tokens(a, b) gives the hashes of tokens a to b; runs end at the pieces' ends."""
     for a in range(0, n - window + 1, piece):
-        mini, code, start, k = runs(tokens(a, min(n, a + piece + window - 1)), window, gram, powers)
-        yield mini, code, start + a, k
+        mini, code, start, *rest = runs(tokens(a, min(n, a + piece + window - 1)), window, gram, powers, within)
+        yield mini, code, start + a, *rest
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -109,18 +125,20 @@ def settle(rows: DataFrame, per_doc: int = 0) -> tuple[DataFrame, DataFrame]:
 
     A run is a repeat if an equal run starts earlier: at a smaller (key, start), or, where per_doc is
     given, in a smaller doc_id (key div per_doc). What is left needs a comparison only where its
-    minimiser has different runs. Skew: both joins are plain equi-joins on rows of five numbers, which
+    minimiser has different runs, or, without per_doc, where the run itself holds two equal windows
+    (rows then have a flag `within`). Skew: both joins are plain equi-joins on rows of a few numbers, which
     adaptive execution splits; the aggregates combine before their shuffle.
     """
-    seen = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"))
-    seen = seen.where("c > 1").select("mini", F.expr("lo <> hi").alias("mixed"))
+    within = F.lit(False) if per_doc else F.col("within")
+    seen = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.max(within).alias("any"))
+    seen = seen.where("c > 1 OR any").select("mini", F.expr("lo <> hi").alias("mixed"))
     again = table(rows.join(seen, "mini"))
     first = again.groupBy("mini", "code").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
     marked = again.join(first.where("c > 1"), ["mini", "code"], "left")
     earlier = f"(first.key div {per_doc}) < (key div {per_doc})" if per_doc else "first.key < key OR (first.key = key AND first.start < start)"
     marked = marked.withColumn("repeat", F.coalesce(F.expr(earlier), F.lit(False)))
-    marked = table(marked.select("mini", "code", "key", "start", "n", "mixed", "repeat"))
-    return marked.where("repeat").select("key", "start", "n"), marked.where("mixed AND NOT repeat").drop("mixed", "repeat")
+    marked = table(marked.select("mini", "code", "key", "start", "n", (F.col("mixed") | within).alias("open"), "repeat"))
+    return marked.where("repeat").select("key", "start", "n"), marked.where("open AND NOT repeat").drop("open", "repeat")
 
 
 def sorted_groups(windows: np.ndarray) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Operator 9: suffix-array dedup of 100-byte strings.
 
 Suffixes are taken in runs of consecutive start bytes that share an anchor (the least hash of a 20-byte
-gram among each suffix's first 100 bytes). A run whose anchor occurs once in the corpus cannot repeat; runs equal as
-a whole are told by their hashes. The others are range-partitioned by the bytes at their anchor, with sampled
-splitters, and each bucket sorts its suffixes to a depth of 100 bytes by multikey quicksort, eight bytes a
+gram among each suffix's first 100 bytes). A run whose anchor no other run has can repeat only within itself, and
+stays at home unless two of its suffixes start with equal 100 bytes; runs equal as a whole are told by their hashes, and
+the first of them is still compared if it repeats within itself. The others are range-partitioned by the bytes at their
+anchor, with sampled splitters, and each bucket sorts its suffixes to a depth of 100 bytes by multikey quicksort, eight bytes a
 character. Equal anchors never straddle a boundary, except those too frequent for one bucket:
 their suffixes are compared across buckets by hash.
 
@@ -35,7 +36,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             keys, out, size = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_py().encode(), np.uint8)
-                for found in piecewise(len(data), lambda a, b, data=data: _BYTES[data[a:b]], length, gram, powers):
+                for found in piecewise(len(data), lambda a, b, data=data: _BYTES[data[a:b]], length, gram, powers, within=True):
                     keys.append(np.full(len(found[0]), key, np.int64))
                     out.append(found)
                     size += len(found[0])
@@ -46,10 +47,10 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield rows(keys, out)
 
     def rows(keys, out):
-        mini, code, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(mini), pa.array(code), pa.array(np.concatenate(keys)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "code", "key", "start", "n"])
+        mini, code, start, n, within = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(mini), pa.array(code), pa.array(np.concatenate(keys)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(within)], names=["mini", "code", "key", "start", "n", "within"])
 
-    return docs.where("key IS NOT NULL").select("key", "text").mapInArrow(find, "mini long, code long, key long, start int, n int")
+    return docs.where("key IS NOT NULL").select("key", "text").mapInArrow(find, "mini long, code long, key long, start int, n int, within boolean")
 
 
 def byte_codes(parts: list[bytes]) -> list[np.ndarray]:

@@ -85,3 +85,20 @@ def test_pieces_of_long_texts_give_the_same_windows():
         starts = [int(a) + i for _, _, start, n in piecewise(len(t), lambda a, b: t[a:b], 50, 8, Powers(), piece) for a, k in zip(start, n) for i in range(k)]
         assert starts == list(range(651))
     assert list(piecewise(49, lambda a, b: t[a:b], 50, 8, Powers())) == []
+
+
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_suffixes_that_repeat_within_one_run(spark, monkeypatch, hot):
+    from hearthline.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+    lone = {"ab" * 60: 118, "Z" * 299: 298, "Y" * 100: 0, "xyz" * 66: 195}
+    lone |= {c * k: k - 1 for c, k in zip("ABCDEFG", (101, 150, 199, 299, 399, 400, 1099))}
+    for text, n in lone.items():
+        assert brute.suffix([(1, text)])[0][2] == n
+    docs = [(d, t) for d, t in enumerate(lone)]
+    got = sorted(map(tuple, suffix_dedup.digest(frame(spark, docs)).collect()))
+    assert got == brute.suffix(docs) and [r[2] for r in got] == list(lone.values())
+    docs = [(1, "ab" * 60), (2, "ab" * 60), (3, "Q" * 150), (4, "Q" * 150), (5, "Q" * 150)]
+    got = sorted(map(tuple, suffix_dedup.digest(frame(spark, docs)).collect()))
+    assert got == brute.suffix(docs) and sum(r[2] for r in got) == 238 + 449
