@@ -103,7 +103,20 @@ def pinned_functions(spark, d):
     "SELECT l_orderkey AS base, string_agg(DISTINCT l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber || ':' || CAST(l_quantity AS BIGINT)) AS fields FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1",
 )
 def struct_layouts(spark, d):
-    """Set of (offset, width) of each base pointer."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("bigint").alias("width"))
+    """D22 over one order in 10, as its SQL says; struct_layouts_all has all of them."""
+    return field_layouts(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+def field_layouts(lines):
+    rows = lines.select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("bigint").alias("width"))
     text = F.array_sort(F.transform("fields", lambda f: F.concat_ws(":", f["at"], f["width"])))
     return graph.layouts(rows).select("base", F.array_join(text, ",").alias("fields"))
+
+
+@register(
+    "struct_layouts_all",
+    "SELECT l_orderkey AS base, string_agg(DISTINCT l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber || ':' || CAST(l_quantity AS BIGINT)) AS fields FROM lineitem GROUP BY 1",
+)
+def struct_layouts_all(spark, d):
+    """Set of (offset, width) of each base pointer."""
+    return field_layouts(table(spark, d, "lineitem"))
