@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,11 @@ def two_hops(edges: DataFrame) -> DataFrame:
     return e.join(f, F.col("e.dst") == F.col("f.src")).select(F.col("e.src").alias("src"), F.col("e.dst").alias("via"), F.col("f.dst").alias("dst"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component): least id that is connected, by min labels and pointer jumping; reads spark.checkpoint.dir.
 
-    Labels are cut from their lineage every round. Ends as soon as a round changes nothing.
+    Labels are cut from their lineage every round. Ends as soon as a round changes nothing, and raises where that takes
+    more than `rounds`, if given.
     """
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -48,15 +51,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().checkpoint()
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
+    for done in count(1):
         near = both.join(labels, both.dst == labels.id).groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.src, "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
         step = step.join(jump, "component").select("id", F.col("far").alias("component"), "was").checkpoint()
         labels = step.select("id", "component")
         if step.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels
+        if done == rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 def pinned(functions: DataFrame, known: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Queries over whole tables, on small tables with rows that an id filter would leave out."""
 
+import random
+
+import pytest
+
+from hearthline.operators import graph
 from hearthline.plans.registry import QUERIES
 
 
@@ -27,3 +32,13 @@ def test_payloads_of_all_events(spark, tmp_path):
     events = [(1, '{"k": 5}'), (2, "{broken"), (10, '{"k": 7}'), (13, "{}"), (20, '{"k": "x"}')]
     got = run(spark, tmp_path, "payload_parsed_all", "events", events, "event_id long, props string")
     assert got == [(1, 5, False), (2, None, True), (10, 7, False), (13, None, False), (20, None, True)]
+
+
+def test_components_settle_or_raise(spark):
+    names = [f"v{i:03}" for i in range(40)]
+    random.Random(3).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [("x", "y")], "src string, dst string")
+    got = {r.id: r.component for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(names, "v000") | {"x": "x", "y": "x"}
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
