@@ -130,8 +130,9 @@ def settle(rows: DataFrame, per_doc: int = 0) -> tuple[DataFrame, DataFrame]:
     adaptive execution splits; the aggregates combine before their shuffle.
     """
     within = F.lit(False) if per_doc else F.col("within")
-    seen = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.max(within).alias("any"))
-    seen = seen.where("c > 1 OR any").select("mini", F.expr("lo <> hi").alias("mixed"))
+    flag = [] if per_doc else [F.max("within").alias("any")]
+    seen = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), *flag)
+    seen = seen.where("c > 1" if per_doc else "c > 1 OR any").select("mini", F.expr("lo <> hi").alias("mixed"))
     again = table(rows.join(seen, "mini"))
     first = again.groupBy("mini", "code").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
     marked = again.join(first.where("c > 1"), ["mini", "code"], "left")
