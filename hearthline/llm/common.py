@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Bits of the membership filter that `maybe_in` broadcasts: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
-#: Word hashes and encodings that one Python worker keeps before it starts over.
+#: Word hashes and encodings that one Python worker keeps before it starts over, and the longest key that it keeps.
 CACHE_WORDS = 200_000
+CACHE_KEY = 64
 #: Most bytes of rows that a Python worker gets at once.
 BATCH_BYTES = 8 << 20
 
@@ -26,10 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named in spark.checkpoint.dir; one of our own only where none is set and the session is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hearthline-"))
     return sc.getCheckpointDir()
 
 
@@ -48,7 +52,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold, however long texts are."""
+    """Bounds what Python workers hold, however long texts are. Results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -67,11 +71,14 @@ def parts(spark: SparkSession) -> int:
 
 
 class Cached(dict):
-    """Maps a key by `make`, keeping the results of the latest `limit` to 2 * `limit` different keys."""
+    """Maps a key by `make`, keeping the results of the latest `limit` to 2 * `limit` different keys.
 
-    def __init__(self, make, limit: int = CACHE_WORDS):
+    Keys of over `longest` bytes or characters are made anew each time, so what is kept is bounded in bytes too, also in texts without spaces.
+    """
+
+    def __init__(self, make, limit: int = CACHE_WORDS, longest: int = CACHE_KEY):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
@@ -79,14 +86,16 @@ class Cached(dict):
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > self.longest:
+            return
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
 
     def fill(self, keys: set, make_many) -> None:
-        """Makes what is not kept of `keys` by one call."""
-        new = [k for k in keys if k not in self and k not in self.old]
+        """Makes what is not kept of `keys`, and can be, by one call."""
+        new = [k for k in keys if len(k) <= self.longest and k not in self and k not in self.old]
         for k, v in zip(new, make_many(new), strict=True):
             self.put(k, v)
 
@@ -109,19 +118,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that a column has already (names differ in more than case)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def _marked(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """df with a flag: whether its `column` may be among ids' values; the flag's name."""
+    slot, word, bits, maybe = fresh(df.columns, "_slot", "_word", "_bits", "_maybe")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(`{c}` % 64 AS INT))")
     words = (
-        ids.where(F.col(column).isNotNull()).select(slot.alias("_slot"))
-        .groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    )
-    return (
-        df.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64"))
-        .join(F.broadcast(words), "_word", "left")
-        .withColumn("_maybe", F.col(column).isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
-        .drop("_word", "_slot", "_bits")
-    )
+        ids.where(F.col(column).isNotNull()).select(at(F.col(column)).alias(slot))
+        .groupBy(F.expr(f"`{slot}` div 64").alias(word)).agg(F.bit_or(bit(slot)).alias(bits))
+    )
+    out = (
+        df.withColumn(slot, at(F.col(column))).withColumn(word, F.expr(f"`{slot}` div 64"))
+        .join(F.broadcast(words), word, "left")
+        .withColumn(maybe, F.col(column).isNotNull() & F.coalesce(F.col(bits).bitwiseAND(bit(slot)) != 0, F.lit(False)))
+        .drop(word, slot, bits)
+    )
+    return out, maybe
 
 
 def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -130,24 +153,45 @@ def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     A bitmap of FILTER_BITS bits is broadcast, so its size does not depend on the data; when it
     fills up it only stops sparing work. An exact join must follow. `column` is a long in both.
     """
-    return _marked(df, ids, column).where("_maybe").drop("_maybe")
+    out, flag = _marked(df, ids, column)
+    return out.where(F.col(flag)).select(*[f"`{c}`" for c in df.columns])
 
 
 def surely_not_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The other rows of df: those of which `maybe_in` is sure, and those with a null."""
-    return _marked(df, ids, column).where("NOT _maybe").drop("_maybe")
+    out, flag = _marked(df, ids, column)
+    return out.where(~F.col(flag)).select(*[f"`{c}`" for c in df.columns])
+
+
+def row_hash() -> F.Column:
+    """Tells rows of one doc_id apart; with doc_id it names a row, up to equal ones."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def _keyed(docs: DataFrame, rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs with its row hash; rows (doc_id, row, *more) under names that docs does not have; these names, the row hash's first."""
+    names = fresh(docs.columns, "_row", "_d", "_r", *(f"_{m}" for m in more))
+    own = [F.col("doc_id").cast("long").alias(names[1]), F.col("row").alias(names[2]), *(F.col(m).alias(n) for m, n in zip(more, names[3:], strict=True))]
+    return docs.withColumn(names[0], row_hash()), table(rows.select(own).dropDuplicates(names[1:3])), names
+
+
+def _same(names: list[str]):
+    return (F.col(names[0]) == F.col(names[2])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names[1]))
 
 
-def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose `column` (a long) is not in ids; only rows that may be in are shuffled."""
-    ids = table(ids.select(column).distinct())
-    return surely_not_in(df, ids, column).union(maybe_in(df, ids, column).join(ids, column, "left_anti").select(df.columns))
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows (doc_id, row); only those that may be meant are shuffled. Columns of any name pass unchanged."""
+    keyed, ids, names = _keyed(docs, rows)
+    hashes = ids.select(F.col(names[2]).alias(names[0]))
+    kept = maybe_in(keyed, hashes, names[0]).join(ids, _same(names), "left_anti")
+    return surely_not_in(keyed, hashes, names[0]).union(kept).drop(names[0])
 
 
-def replaced(df: DataFrame, edits: DataFrame, column: str) -> DataFrame:
-    """df with the texts of edits (column, text) put in, by `column` (a long); n_chars follows if df has it."""
-    edits = table(edits.select(column, F.col("text").alias("_new")).dropDuplicates([column]))
-    maybe = maybe_in(df, edits, column).join(edits, column, "left").withColumn("text", F.coalesce("_new", "text"))
-    if "n_chars" in df.columns:
-        maybe = maybe.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
-    return surely_not_in(df, edits, column).union(maybe.select(df.columns))
+def replaced(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """docs with the texts of edits (doc_id, row, text) put in; n_chars follows if docs has it. Other columns pass unchanged."""
+    keyed, edits, names = _keyed(docs, edits, "text")
+    hashes, new = edits.select(F.col(names[2]).alias(names[0])), F.col(names[3])
+    both = maybe_in(keyed, hashes, names[0]).join(edits, _same(names), "left").withColumn("text", F.coalesce(new, F.col("text")))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.when(new.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return surely_not_in(keyed, hashes, names[0]).union(both.select(*[f"`{c}`" for c in keyed.columns])).drop(names[0])

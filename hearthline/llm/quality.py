@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import table
+from hearthline.llm.common import row_hash, table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -68,7 +68,7 @@ def measured(documents: DataFrame) -> DataFrame:
     dup = bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     counts = bind(words, lambda w: F.struct(F.size(w).alias("n"), covered(w).alias("r")))
     out = texts.select(
-        "doc_id", "source", F.xxhash64("doc_id", "text").alias("row"), counts.alias("c"),
+        "doc_id", "source", row_hash().alias("row"), counts.alias("c"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),

@@ -1,9 +1,13 @@
 """Windows that repeat across documents: the engine under line, suffix and substring dedup.
 
-Flow: `occurrences` (one row per run of windows, with hashes) -> `settle` (which runs are repeats as a
-whole, and which need their windows compared) -> ranges to remove -> `cut` (texts that have any).
-Only narrow rows of numbers are shuffled for the whole corpus; texts are shuffled only for the
-documents that some repeat touches, found through a bitmap of fixed size.
+A map task cuts texts into runs of consecutive windows that share a minimiser. Runs that may repeat meet in buckets, sorted
+by what they share; a bucket sorts whole runs and then their windows by multikey quicksort, so each removal comes from
+comparing sorted strings, never from a hash. Results are ranges of tokens, (doc_id, row, a, b), and only texts that have some
+are shuffled. `row` is a hash of doc_id and text that tells rows of one doc_id apart.
+
+Skew: `first_of_batch` sends on one of several equal strings of a batch and settles the others at once, so a passage that a third of
+all rows hold reaches its bucket once a batch. A group of over GROUP_ROWS different runs (near copies) does not stay in one
+task: its windows go on as strings of their own and are sorted by Spark, which spills.
 """
 
 from __future__ import annotations
@@ -11,11 +15,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import maybe_in, mix, parts, table
+from hearthline.llm.common import maybe_in, mix, row_hash, table
 
 _C = 0x9E3779B97F4A7C15
 _CINV = pow(_C, -1, 1 << 64)
@@ -56,30 +61,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[w - size : w - size + n])
 
 
-def recurring(whole: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which runs, of n windows each, hold two windows with one hash."""
-    out = np.zeros(len(n), bool)
-    ordered = np.sort(whole)
-    again = ordered[1:][ordered[1:] == ordered[:-1]]
-    if len(again):
-        at = np.flatnonzero(again[np.searchsorted(again, whole).clip(max=len(again) - 1)] == whole)
-        h, run = whole[at], np.repeat(np.arange(len(n)), n)[at]
-        order = np.lexsort((run, h))
-        h, run = h[order], run[order]
-        out[run[1:][(h[1:] == h[:-1]) & (run[1:] == run[:-1])]] = True
-    return out
-
-
-def runs(t: np.ndarray, window: int, gram: int, powers: Powers, within: bool = False):
-    """Runs of consecutive windows that share a minimiser: (minimiser, run hash, start, windows).
-
-    A run is `window` windows long at most, so the hashes of its first and last window cover it. With
-    `within`, a fifth array tells which runs hold two equal windows.
-    """
-    if len(t) < window:
-        return None
-    sums = prefix_sums(t, powers)
-    low = sliding_min(window_hashes(sums, gram, powers), window - gram + 1)
+def runs(t: np.ndarray, window: int, gram: int, powers: Powers):
+    """Runs of consecutive windows that share a minimiser, of `window` windows at most: (minimiser, start, windows, gram hashes)."""
+    grams = window_hashes(prefix_sums(t, powers), gram, powers)
+    low = sliding_min(grams, window - gram + 1)
     edges = np.flatnonzero(low[1:] != low[:-1]) + 1
     start = np.concatenate(([0], edges))
     n = np.diff(np.concatenate((start, [len(low)])))
@@ -89,209 +74,357 @@ def runs(t: np.ndarray, window: int, gram: int, powers: Powers, within: bool = F
         k = np.arange(pieces.sum()) - first
         start, left = np.repeat(start, pieces) + k * window, np.repeat(n, pieces) - k * window
         n = np.minimum(left, window)
-    whole = window_hashes(sums, window, powers)
-    code = mix(whole[start] * np.uint64(0xA0761D6478BD642F) + whole[start + n - 1] * np.uint64(0xE7037ED1A0B428DB) + n.astype(np.uint64))
-    found = low[start].view(np.int64), code.view(np.int64), start, n
-    return (*found, recurring(whole, n)) if within else found
+    return low[start], start, n, grams
 
 
 #: Windows of a text that are hashed at once; longer texts go in pieces, so memory is bounded.
 PIECE = 1 << 20
 
 
-def piecewise(n: int, tokens, window: int, gram: int, powers: Powers, piece: int = PIECE, within: bool = False):
-    """runs() of n tokens, where tokens(a, b) gives the hashes of tokens a to b; runs end at the pieces' ends."""
+def piecewise(n: int, tokens, window: int, gram: int, powers: Powers, piece: int = PIECE):
+    """runs() of n tokens, where tokens(a, b) gives the hashes of tokens a to b; runs end at the pieces' ends. Yields each piece's offset too."""
     for a in range(0, n - window + 1, piece):
-        mini, code, start, *rest = runs(tokens(a, min(n, a + piece + window - 1)), window, gram, powers, within)
-        yield mini, code, start + a, *rest
+        yield a, *runs(tokens(a, min(n, a + piece + window - 1)), window, gram, powers)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with a long `key` that orders rows as (doc_id, text) does, and keys per doc_id.
+def numbered(documents: DataFrame) -> DataFrame:
+    """doc_id, row, text (null: empty) of every row."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
-    The key is the doc_id itself unless some doc_id has several texts. Rows without doc_id have no key.
-    """
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).distinct()
-    most = ids.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if most == 1:
-        return docs.withColumn("key", F.col("doc_id")), 1
-    ranked = ids.selectExpr("doc_id", "_h", f"doc_id * {most}L + row_number() OVER (PARTITION BY doc_id ORDER BY _h) - 1 AS key")
-    return docs.withColumn("_h", F.xxhash64("text")).join(ranked, ["doc_id", "_h"], "left").drop("_h"), most
-
-
-def settle(rows: DataFrame, per_doc: int = 0) -> tuple[DataFrame, DataFrame]:
-    """rows (mini, code, key, start, n) -> (runs repeated as a whole, runs to compare window by window).
-
-    A run is a repeat if an equal run starts earlier: at a smaller (key, start), or, where per_doc is
-    given, in a smaller doc_id (key div per_doc). What is left needs a comparison only where its
-    minimiser has different runs, or, without per_doc, where the run itself holds two equal windows
-    (rows then have a flag `within`). Skew: both joins are plain equi-joins on rows of a few numbers, which
-    adaptive execution splits; the aggregates combine before their shuffle.
-    """
-    within = F.lit(False) if per_doc else F.col("within")
-    flag = [] if per_doc else [F.max("within").alias("any")]
-    seen = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), *flag)
-    seen = seen.where("c > 1" if per_doc else "c > 1 OR any").select("mini", F.expr("lo <> hi").alias("mixed"))
-    again = table(rows.join(seen, "mini"))
-    first = again.groupBy("mini", "code").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-    marked = again.join(first.where("c > 1"), ["mini", "code"], "left")
-    earlier = f"(first.key div {per_doc}) < (key div {per_doc})" if per_doc else "first.key < key OR (first.key = key AND first.start < start)"
-    marked = marked.withColumn("repeat", F.coalesce(F.expr(earlier), F.lit(False)))
-    marked = table(marked.select("mini", "code", "key", "start", "n", (F.col("mixed") | within).alias("open"), "repeat"))
-    return marked.where("repeat").select("key", "start", "n"), marked.where("open AND NOT repeat").drop("open", "repeat")
-
-
-def sorted_groups(windows: np.ndarray) -> np.ndarray:
-    """Group number of each row of a 2-d integer array, equal rows alike, by multikey quicksort.
-
-    Rows are cut into big-endian 8-byte characters; a character is sorted only within rows that tie so far.
+
+def in_order(batch):
+    """The batch's (doc_id, row, text) in the order in which occurrences count."""
+    doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    last = None
+    for i in np.lexsort((row, doc)).tolist():
+        if (doc[i], row[i]) != last:  # equal rows share their ranges
+            last = (doc[i], row[i])
+            yield int(doc[i]), int(row[i]), batch.column(2)[i].as_py()
+
+
+#: Bytes of strings among which a batch's equal ones are found.
+SEEN_BYTES = 32 << 20
+
+
+class FirstOfBatch:
+    """Tells equal strings of one task's batch that come later; strings must be shown in the order in which they count."""
+
+    def __init__(self):
+        self.seen, self.size = {}, 0
+
+    def later(self, part: bytes, at: tuple[int, int, int], by_doc: bool) -> bool:
+        """Whether a string equal to that at (doc_id, row, start) was shown before: of a smaller doc_id, if by_doc."""
+        first = self.seen.get(part)
+        if first is None:
+            if self.size > SEEN_BYTES:
+                self.seen, self.size = {}, 0
+            self.seen[part] = at
+            self.size += len(part)
+            return False
+        return first[0] < at[0] if by_doc else first < at
+
+
+def multikey(char, n: int, depth: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts n strings by multikey quicksort: (order, seg), where positions of one seg hold strings equal in all characters.
+
+    char(rows, c) gives character c, a 64-bit word, of the given strings. A level sorts each segment that is still open by
+    one character, which splits it into lesser, equal and greater strings; only segments of equal ones stay open.
+    With `part`, segments of strings of different parts are apart from the start.
     """
-    rows, width = windows.shape[0], windows.shape[1] * windows.itemsize
-    raw = np.zeros((rows, -(-width // 8) * 8), np.uint8)
-    raw[:, :width] = np.ascontiguousarray(windows).view(np.uint8).reshape(rows, width)
-    chars = raw.view(">u8").astype(np.uint64)
-    group, open_rows = np.zeros(rows, np.int64), np.arange(rows)
-    for c in range(chars.shape[1]):
-        if not len(open_rows):
+    order, seg, at = np.arange(n), np.zeros(n, np.int64), np.arange(n)
+    for c in range(-1 if part is not None else 0, depth):
+        if not len(at):
             break
-        x, g = chars[open_rows, c], group[open_rows]
-        order = np.lexsort((x, g))
-        x, g, at = x[order], g[order], open_rows[order]
+        rows = order[at]
+        x, s = part[rows] if c < 0 else char(rows, c), seg[at]
+        k = np.lexsort((x, s)) if s[0] != s[-1] else np.argsort(x, kind="stable")
+        x, order[at] = x[k], rows[k]
         new = np.ones(len(at), bool)
-        new[1:] = (x[1:] != x[:-1]) | (g[1:] != g[:-1])
+        new[1:] = (x[1:] != x[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(at)))
-        group[at] = at[first].repeat(size)  # a group is named by one of its rows
-        open_rows = at[(size > 1).repeat(size)]
-    return group
-
-
-def later(group: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one earlier: in a smaller doc, or in a smaller (key, start) where doc is None."""
-    order = np.lexsort((start, key, group))
-    g = group[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.zeros(len(g), bool)
-    if doc is not None:
-        out[order] = doc[first] < doc[order]
-    else:
-        out[order] = (key[first] < key[order]) | ((key[first] == key[order]) & (start[first] < start[order]))
+        seg[at] = at[first].repeat(size)
+        at = at[(size > 1).repeat(size)]
+    return order, seg
+
+
+class Strings:
+    """Byte strings one after the other, with their characters of eight bytes, the first in front."""
+
+    def __init__(self, parts: list[bytes]):
+        self.size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
+
+    def char(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The character at a place of which `left` bytes count, the others being zero."""
+        x = self.data[np.minimum(at, len(self.data) - 8)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+        left = np.clip(left, 0, 8).astype(np.uint64)
+        return np.where(left > 0, x & ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * np.maximum(left, np.uint64(1))), np.uint64(0))
+
+    def whole(self, rows: np.ndarray, c: int) -> np.ndarray:
+        """Character c of whole strings; character 0 is the length."""
+        return self.size[rows].astype(np.uint64) if c == 0 else self.char(self.start[rows] + 8 * (c - 1), self.size[rows] - 8 * (c - 1))
+
+
+class Bytes:
+    """Tokens that are bytes."""
+
+    @staticmethod
+    def length(part: bytes) -> int:
+        return len(part)
+
+    @staticmethod
+    def cut(part: bytes, window: int) -> list[bytes]:
+        return [part[i : i + window] for i in range(len(part) - window + 1)]
+
+    @staticmethod
+    def windows(parts: list[bytes], window: int):
+        """(string of each window, its place in it, characters, depth)."""
+        s = Strings(parts)
+        n = s.size - window + 1
+        of = np.repeat(np.arange(len(parts)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = s.start[of] + at
+        return of, at, lambda rows, c: s.char(place[rows] + 8 * c, np.full(len(rows), window - 8 * c)), -(-window // 8)
+
+
+class Words:
+    """Tokens that are words, joined by single spaces."""
+
+    @staticmethod
+    def length(part: bytes) -> int:
+        return part.count(b" ") + 1
+
+    @staticmethod
+    def cut(part: bytes, window: int) -> list[bytes]:
+        w = part.split(b" ")
+        return [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
+
+    @staticmethod
+    def windows(parts: list[bytes], window: int):
+        ids: dict[bytes, int] = {}
+        words = [x.split(b" ") for x in parts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.fromiter((ids.setdefault(w, len(ids)) for x in words for w in x), np.uint64, int(size.sum()))
+        n = size - window + 1
+        of = np.repeat(np.arange(len(parts)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = (np.cumsum(size) - size)[of] + at
+        pair = (codes << np.uint64(32)) | np.append(codes[1:], np.uint64(0)) if window > 1 else codes
+        last = codes[window - 1 :] if window % 2 else None
+
+        def char(rows, c):
+            return pair[place[rows] + 2 * c] if 2 * c + 1 < window else last[place[rows]]
+
+        return of, at, char, -(-window // 2)
+
+
+def earliest(seg: np.ndarray, order: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, by_doc: bool) -> np.ndarray:
+    """Which of the sorted strings have an equal one that counts earlier: in a smaller doc_id, if by_doc."""
+    doc, row, start = doc[order], row[order], start[order]
+    k = np.lexsort((start, row, doc, seg))
+    seg, doc, row, start = seg[k], doc[k], row[k], start[k]
+    new = np.ones(len(seg), bool)
+    new[1:] = seg[1:] != seg[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = doc[first] < doc
+    if not by_doc:
+        later |= (doc[first] == doc) & ((row[first] < row) | ((row[first] == row) & (start[first] < start)))
+    out = np.zeros(len(seg), bool)
+    out[order[k]] = later
     return out
 
 
-def as_ranges(key: np.ndarray, start: np.ndarray, window: int) -> pd.DataFrame:
-    """Windows to remove (sorted by key, start) as ranges of tokens, neighbours merged."""
-    if not len(key):
-        return pd.DataFrame({"key": key, "a": start, "b": start})
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
-    last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
-    return pd.DataFrame({"key": key[new], "a": start[new], "b": start[last] + window})
+class Bucket:
+    """Compares runs that met in a bucket, each a packed string."""
+
+    def __init__(self, tokens, window: int, by_doc: bool):
+        self.tokens, self.window, self.by_doc = tokens, window, by_doc
+
+    def removed(self, group: np.ndarray, alone: np.ndarray, doc, row, start, parts: list[bytes]):
+        """Ranges to remove, (doc_id, row, a, b) arrays, and which runs are not removed as a whole.
+
+        group: which runs met; alone: runs whose windows may repeat within the run itself.
+        """
+        s = Strings(parts)
+        order, seg = multikey(s.whole, len(parts), 1 + -(-int(s.size.max()) // 8), group)
+        whole = earliest(seg, order, doc, row, start, self.by_doc)
+        gone = np.flatnonzero(whole)
+        length = np.fromiter((self.tokens.length(parts[i]) for i in gone.tolist()), np.int64, len(gone))
+        out = [(doc[gone], row[gone], start[gone], start[gone] + length)]
+        rest = np.flatnonzero(~whole)
+        _, at, met = np.unique(group[rest], return_inverse=True, return_counts=True)
+        rest = rest[(met[at] > 1) | alone[rest]]
+        if len(rest):
+            of, place, char, depth = self.tokens.windows([parts[i] for i in rest.tolist()], self.window)
+            run = rest[of]
+            order, seg = multikey(char, len(of), depth)
+            again = np.flatnonzero(earliest(seg, order, doc[run], row[run], start[run] + place, self.by_doc))
+            out.append(self.ranges(of[again], doc[run[again]], row[run[again]], start[run[again]] + place[again]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)], ~whole
+
+    def ranges(self, run, doc, row, start):
+        """Windows in order, as ranges of tokens; neighbours of one run are merged."""
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(run)) - 1 if len(run) else first
+        return doc[first], row[first], start[first], start[last] + self.window
+
+
+#: A group of more runs than this does not stay in one task.
+GROUP_ROWS = 20_000
+#: What buckets give: ranges (part is null), or windows that go on as strings of their own.
+FOUND = "doc_id long, row long, a long, b long, part binary"
+
 
+def found(doc, row, a, b, part=None) -> pa.RecordBatch:
+    numbers = [pa.array(x, pa.int64()) for x in (doc, row, a, b)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.nulls(len(doc), pa.binary()) if part is None else pa.array(part, pa.binary())], names=["doc_id", "row", "a", "b", "part"])
 
-#: A minimiser with more runs to compare than this has its windows spread by hash instead.
-HOT_RUNS = 2000
-#: Windows that are sorted at once, at least.
-BLOCK_WINDOWS = 60_000
 
+def groups(batches, limit: int, keep_ends: bool = False):
+    """Tables of whole groups of equal (k1, k2), of those with several rows or a row that may repeat within itself; batches are sorted by them.
 
-def compare(pending: DataFrame, docs: DataFrame, window: int, per_doc: int, split, pack, codes, anchor=None, gram: int = 0) -> DataFrame:
-    """Ranges (key, a, b) of the pending runs' windows that have an equal one earlier, by their own tokens.
+    Yields (table, hot): hot tables are pieces of one group of over `limit` rows. With keep_ends, the first and the last group
+    come even if they have one row.
+    """
+    carry, hot, ends = None, None, keep_ends
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if carry is not None:
+            t = pa.concat_tables([carry, t])
+        k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
+        if hot is not None:
+            m = int(np.argmin(np.append((k1 == hot[0]) & (k2 == hot[1]), False)))
+            if m:
+                yield t.slice(0, m), True
+            t, k1, k2 = t.slice(m), k1[m:], k2[m:]
+        if not len(k1):
+            carry = None
+            continue
+        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if last:
+            some = t.slice(0, last)
+            tied = np.zeros(last, bool)
+            tied[1:] = same[: last - 1]
+            tied[:-1] |= same[: last - 1]
+            tied |= some.column("alone").to_numpy()
+            if ends:
+                tied[: int(np.argmin(np.append(same[: last - 1], False))) + 1] = True
+                ends = False
+            if tied.any():
+                yield some.filter(pa.array(tied)), False
+        carry, hot = t.slice(last), None
+        if carry.num_rows > limit:
+            yield carry, True
+            carry, hot = None, (int(k1[-1]), int(k2[-1]))
+    if carry is not None and (carry.num_rows > 1 or keep_ends or carry.column("alone")[0].as_py()):
+        yield carry, False
+
+
+def columns(t: pa.Table):
+    number = lambda c: t.column(c).to_numpy()
+    return number("k1"), number("k2"), number("doc_id"), number("row"), number("a"), t.column("alone").to_numpy(), t.column("part").to_pylist()
+
+
+def windows_of(t: pa.Table, bucket: Bucket):
+    """The windows of t's runs as strings that go on; equal ones among them are settled here."""
+    _, _, doc, row, start, _, parts = columns(t)
+    first, ranges, rows = FirstOfBatch(), [], []
+    for i in np.lexsort((start, row, doc)).tolist():
+        for j, w in enumerate(bucket.tokens.cut(parts[i], bucket.window)):
+            at = (int(doc[i]), int(row[i]), int(start[i]) + j)
+            if first.later(w, at, bucket.by_doc):
+                ranges.append((*at, at[2] + bucket.window))
+            else:
+                rows.append((*at, at[2] + bucket.window, w))
+        if len(rows) >= 20_000:
+            yield found(*zip(*rows, strict=True))
+            rows = []
+    if rows:
+        yield found(*zip(*rows, strict=True))
+    if ranges:
+        yield found(*zip(*ranges, strict=True))
+
+
+def in_buckets(dealt: DataFrame, bucket: Bucket, edges: bool = False) -> DataFrame:
+    """FOUND rows of dealt rows (k1, k2, doc_id, row, a, b, alone, part), which lie together and sorted by k1 and k2.
 
-    split(text bytes) -> tokens; pack(tokens) -> bytes; codes(list of packed runs) -> list of integer arrays, equal
-    tokens alike. Each run travels to its bucket as one packed string. With `anchor` (hash of grams),
-    buckets are ranges of the text at the run's anchor, cut at splitters that Spark samples; else they
-    are hash buckets of the minimiser. A minimiser with over HOT_RUNS runs does not fit a bucket of
-    bounded size: its windows are spread by their hash, combined before the shuffle.
+    Rows without part are ranges and pass. With `edges`, a group may go over a partition's end: what is left of the first and the last
+    group of a partition goes on window by window, to be compared across the boundary.
     """
-    spark = docs.sparkSession
-    n, block = parts(spark), BLOCK_WINDOWS
-    hot = pending.groupBy("mini").count().where(F.col("count") > HOT_RUNS).select("mini", F.lit(True).alias("hot"))
-    wanted = pending.join(hot, "mini", "left").groupBy("key").agg(F.collect_set(F.struct("mini", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    texts = maybe_in(docs.where("key IS NOT NULL").select("key", "text"), pending, "key").dropDuplicates(["key"]).join(wanted, "key")
-
-    def packed(batches):
-        for pdf in batches:
+    limit = GROUP_ROWS
+
+    def run(batches):
+        settled = []
+
+        def strings():
+            for batch in batches:
+                no_part = pc.is_null(batch.column("part"))
+                if pc.any(no_part).as_py():
+                    settled.append(batch.filter(no_part))
+                    batch = batch.filter(pc.invert(no_part))
+                if batch.num_rows:
+                    yield batch
+
+        def flush():
+            while settled:
+                b = settled.pop()
+                yield found(*(b.column(c).to_numpy() for c in ("doc_id", "row", "a", "b")))
+
+        first, last = True, None
+        for t, hot in groups(strings(), limit, edges):
+            yield from flush()
+            if hot:
+                yield from windows_of(t, bucket)
+                continue
+            k1, k2, doc, row, start, alone, parts = columns(t)
+            new = np.ones(len(k1), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            number = np.cumsum(new)
+            ranges, left = bucket.removed(number, alone, doc, row, start, parts)
+            if len(ranges[0]):
+                yield found(*ranges)
+            if edges:
+                if first:
+                    yield from windows_of(t.filter(pa.array(left & (number == 1))), bucket)
+                first, last = False, t.filter(pa.array(left & (number == number[-1])))
+        if last is not None:
+            yield from windows_of(last, bucket)
+        yield from flush()
+
+    return dealt.select("k1", "k2", "doc_id", "row", "a", "b", "alone", "part").mapInArrow(run, FOUND)
+
+
+def ranges_of(out: DataFrame) -> DataFrame:
+    return out.where("part IS NULL").select("doc_id", "row", "a", "b")
+
+
+def single_windows(out: DataFrame, by_doc: bool, n: int) -> DataFrame:
+    """Ranges of windows that went on as strings of their own: sorted by Spark, then each is compared with the one before it."""
+    strings = out.where("part IS NOT NULL").select("part", "doc_id", "row", "a", "b")
+    dealt = strings.repartitionByRange(n, "part").sortWithinPartitions("part", "doc_id", "row", "a")
+
+    def run(batches):
+        last, first = None, None
+        for batch in batches:
             rows = []
-            for key, text, chosen in zip(pdf["key"], pdf["text"], pdf["runs"], strict=True):
-                tokens = split(text.encode())
-                for r in chosen:
-                    a, k = int(r["start"]), int(r["n"])
-                    part = pack(tokens[a : a + k + window - 1])
-                    rows.append((int(r["mini"]), key, a, k, bool(r["hot"]), anchor(part, r["mini"]) if anchor else 0, part))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=["mini", "key", "start", "n", "hot", "lead", "part"])
-                        rows = []
-            yield pd.DataFrame(rows, columns=["mini", "key", "start", "n", "hot", "lead", "part"])
-
-    sent = table(texts.mapInPandas(packed, "mini long, key long, start int, n int, hot boolean, lead long, part binary"))
-
-    def windows_of(pdf):
-        arrays = codes(list(pdf["part"]))
-        views = [np.lib.stride_tricks.sliding_window_view(x, window) for x in arrays]
-        k = np.array([len(v) for v in views])
-        key, start = np.repeat(pdf["key"].to_numpy(np.int64), k), np.repeat(pdf["start"].to_numpy(np.int64), k)
-        return views, key, start + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-
-    def removed(pdf):
-        views, key, start = windows_of(pdf)
-        gone = later(sorted_groups(np.concatenate(views)), key // per_doc if per_doc else None, key, start)
-        return as_ranges(key[gone], start[gone], window)
-
-    def bucket(batches):
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            while len(pdf):
-                if size >= block:  # the block ends where the minimiser changes
-                    last = held[-1]["mini"].iloc[-1]
-                    same = int((pdf["mini"].to_numpy() != last).argmax()) if (pdf["mini"] != last).any() else len(pdf)
-                    held.append(pdf.iloc[:same])
-                    pdf = pdf.iloc[same:]
-                    if len(pdf):
-                        yield removed(pd.concat(held))
-                        held, size = [], 0
-                else:
-                    take = max(1, int(np.searchsorted(np.cumsum(pdf["n"].to_numpy()), block - size)) + 1)
-                    held.append(pdf.iloc[:take])
-                    size += int(pdf["n"].iloc[:take].sum())
-                    pdf = pdf.iloc[take:]
-        if held:
-            yield removed(pd.concat(held))
-
-    cold = sent.where("NOT hot").drop("hot")
-    cold = cold.repartitionByRange(n, "lead", "mini") if anchor else cold.repartition(n, "mini")
-    ranges = cold.sortWithinPartitions("lead", "mini").mapInPandas(bucket, "key long, a long, b long")
-
-    def spread(batches):
-        import xxhash
-
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                some = pdf.iloc[at : at + 500]
-                rows = []
-                for key, start, part in zip(some["key"], some["start"], some["part"], strict=True):
-                    tokens = split(bytes(part))
-                    for j in range(len(tokens) - window + 1):
-                        h = xxhash.xxh3_128_intdigest(pack(tokens[j : j + window]))
-                        rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), key, start + j))
-                yield pd.DataFrame(rows, columns=["h1", "h2", "key", "start"])
-
-    each = table(sent.where("hot").mapInPandas(spread, "h1 long, h2 long, key long, start long"))
-    first = each.groupBy("h1", "h2").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    earlier = f"(first.key div {per_doc}) < (key div {per_doc})" if per_doc else "first.key < key OR (first.key = key AND first.start < start)"
-    more = each.join(first, ["h1", "h2"]).where(earlier).selectExpr("key", "start AS a", f"start + {window} AS b")
-    return ranges.union(more)
+            for part, doc, row, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != last:
+                    last, first = part, (doc, row, a)
+                elif (first[0] < doc) if by_doc else (first < (doc, row, a)):
+                    rows.append((doc, row, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "row", "a", "b"])
+
+    return dealt.mapInArrow(run, "doc_id long, row long, a long, b long")
 
 
 def collected(ranges: DataFrame) -> DataFrame:
-    """Ranges (key, a, b) of each key in one array; its size is bounded by its own document."""
-    return ranges.groupBy("key").agg(F.collect_list(F.expr("shiftleft(CAST(a AS LONG), 32) | CAST(b AS LONG)")).alias("ranges"))
+    """Ranges (doc_id, row, a, b) of each row in one array; its size is bounded by its own document."""
+    return ranges.groupBy("doc_id", "row").agg(F.collect_list(F.expr("shiftleft(CAST(a AS LONG), 32) | CAST(b AS LONG)")).alias("ranges"))
 
 
 def merged(packed, n: int) -> list[tuple[int, int]]:
@@ -306,10 +439,16 @@ def merged(packed, n: int) -> list[tuple[int, int]]:
 
 
 def touched(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Texts of the documents that have ranges, with them: (key, row, text, ranges); row is a hash of doc_id and text."""
-    found = table(collected(ranges))
-    texts = docs.where("key IS NOT NULL").select("key", F.xxhash64("doc_id", "text").alias("row"), "text")
-    return maybe_in(texts, found, "key").join(found, "key")
+    """Texts of the rows that have ranges, with them: (doc_id, row, text, ranges); of equal rows one."""
+    some = table(collected(ranges))
+    texts = maybe_in(docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), some, "row")
+    return texts.join(some, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+
+
+def with_results(every: DataFrame, some: DataFrame) -> DataFrame:
+    """every (doc_id, row, ...) with what `some` has for its rows, by a join that keeps rows without doc_id."""
+    mine = some.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), *[c for c in some.columns if c not in ("doc_id", "row")])
+    return every.join(mine, (every["row"] == mine["_r"]) & (every["doc_id"] == mine["_d"]), "left").drop("_d", "_r")
 
 
 def sha(data: bytes) -> str:

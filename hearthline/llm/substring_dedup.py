@@ -1,13 +1,13 @@
 """Operator 10: substring dedup by super-k-mers.
 
-Consecutive 50-word windows that share a minimiser (the least hash of an 8-word gram) form a run, which
-travels as one packed string to its minimiser's bucket, where its windows are sorted and compared word
-by word. Runs whose minimiser occurs once in the corpus cannot repeat and stay at home; runs equal as a
-whole are told by their hashes.
-
-Defined cases: null or empty texts have no words and stay empty; texts of under 50 words are kept whole; rows
-without doc_id take no part and are kept whole; of rows that share a doc_id none removes words of the
-other; equal rows give equal results; further columns are not read.
+Consecutive 50-word windows that share a minimiser (the least hash of an 8-word gram) form a run, a super-k-mer, which travels as one packed string to
+its minimiser's bucket. There the minimiser's strings are sorted, then the windows of those that differ, word by word; a window
+goes if an equal one stands in a document with a smaller doc_id. A minimiser with too many different strings for one bucket has its windows sorted one
+by one across the cluster.
+
+Defined cases: null or empty texts have no words and stay empty; texts of under 50 words are kept whole; an empty table gives no rows; a very long text goes in
+pieces of 2^20 words, and a window that repeats is found in any of them; rows without doc_id take no part and are kept whole; of rows that share a doc_id
+none removes words of the other; doc_ids may be negative or large; equal rows give equal results; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -18,40 +18,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import word_cache, word_hashes
-from hearthline.llm.repeats import Powers, compare, keyed, merged, piecewise, settle, sha, touched
+from hearthline.llm.common import parts, small_batches, table, word_cache, word_hashes
+from hearthline.llm.repeats import FirstOfBatch, Bucket, Powers, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, sha, single_windows, touched, with_results
 
 WINDOW = 50
 GRAM = 8
+#: Bytes of packed strings that a task holds before it gives them on.
+HELD_BYTES = 8 << 20
 
 
-def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Packed runs (k1: minimiser, doc_id, row, a: first word, b: end of the last window, part); those settled in their batch have no part."""
+
     def find(batches):
         cache, powers = word_cache(), Powers()
         for batch in batches:
-            keys, out = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = text.as_py().encode().split()
-                for found in piecewise(len(words), lambda a, b, words=words: word_hashes(words[a:b], cache), window, gram, powers):
-                    keys.append(np.full(len(found[0]), key, np.int64))
-                    out.append(found)
-            if out:
-                mini, code, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(code), pa.array(np.concatenate(keys)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "code", "key", "start", "n"])
-
-    return docs.where("key IS NOT NULL").select("key", "text").mapInArrow(find, "mini long, code long, key long, start int, n int")
-
-
-def word_codes(parts: list[bytes]) -> list[np.ndarray]:
-    ids: dict[bytes, int] = {}
-    return [np.fromiter((ids.setdefault(w, len(ids)) for w in x.split()), np.int32) for x in parts]
-
-
-def removals(docs: DataFrame, per_doc: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Ranges of words to remove, (key, a, b), for docs (key, text)."""
-    whole, pending = settle(occurrences(docs, window, gram), per_doc)
-    ranges = compare(pending, docs, window, per_doc, bytes.split, b" ".join, word_codes)
-    return whole.selectExpr("key", "CAST(start AS LONG) AS a", f"CAST(start + n - 1 + {window} AS LONG) AS b").union(ranges)
+            first, rows, size = FirstOfBatch(), [], 0
+            for doc, row, text in in_order(batch):
+                words = text.encode().split()
+                if len(words) < window:
+                    continue
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                for at, mini, start, n, _ in piecewise(len(words), lambda a, b, words=words: word_hashes(words[a:b], cache), window, gram, powers):
+                    a, b = start + at, start + at + n + window - 1
+                    lo, hi = np.where(a > 0, ends[a - 1], 0), ends[b - 1] - 1
+                    for k, a, b, lo, hi in zip(mini.view(np.int64).tolist(), a.tolist(), b.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                        part = joined[lo:hi]
+                        if first.later(part, (doc, row, a), True):
+                            part = None
+                        else:
+                            size += hi - lo
+                        rows.append((k, doc, row, a, b, part))
+                    if size > HELD_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows):
+        k, doc, row, a, b, part = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k, doc, row)), *(pa.array(x, pa.int32()) for x in (a, b)), pa.array(part, pa.binary())], names=["k1", "doc_id", "row", "a", "b", "part"])
+
+    small_batches(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "k1 long, doc_id long, row long, a int, b int, part binary")
+
+
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Ranges of words to remove, (doc_id, row, a, b), for docs (doc_id, row, text)."""
+    n = parts(docs.sparkSession)
+    settled = F.when(F.col("part").isNull(), F.xxhash64("row", "a")).otherwise(F.col("k1"))
+    dealt = super_kmers(docs, window, gram).withColumn("k1", settled).repartition(n, "k1").sortWithinPartitions("k1")
+    dealt = dealt.select("k1", F.lit(0).cast("long").alias("k2"), "doc_id", "row", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(False).alias("alone"), "part")
+    out = table(in_buckets(dealt, Bucket(Words, window, True)))
+    return ranges_of(out).union(single_windows(out, True, n))
 
 
 def kept_words(words: list[bytes], ranges) -> tuple[list[bytes], int]:
@@ -64,32 +84,31 @@ def kept_words(words: list[bytes], ranges) -> tuple[list[bytes], int]:
 
 
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The texts that lose words: key, row (hash of doc_id and text), text (kept words joined by one space), n_removed."""
-    docs, per_doc = keyed(documents)
-    ranges = removals(docs, per_doc, window, gram)
+    """The texts that lose words: doc_id, row, text (kept words joined by one space), n_words (kept), n_removed."""
+    docs = numbered(documents)
 
     def cut(batches):
         for pdf in batches:
-            done = [(b" ".join(w).decode(), n) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
-            yield pd.DataFrame({"key": pdf["key"], "row": pdf["row"], "text": [x for x, _ in done], "n_removed": [n for _, n in done]})
+            done = [kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "text": [b" ".join(w).decode() for w, _ in done], "n_words": [len(w) for w, _ in done], "n_removed": [n for _, n in done]})
 
-    return touched(docs, ranges).mapInPandas(cut, "key long, row long, text string, n_removed long").dropDuplicates(["key"])
+    return touched(docs, removals(docs, window, gram)).mapInPandas(cut, "doc_id long, row long, text string, n_words long, n_removed long")
 
 
 def digest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    docs, per_doc = keyed(documents)
+    docs = numbered(documents)
 
     def base(batches):
         for pdf in batches:
             rows = [(len(w), sha(b" ".join(w))) for w in (t.encode().split() for t in pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"].astype("Int64"), "n_words": [n for n, _ in rows], "whole": [x for _, x in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "n_words": [n for n, _ in rows], "whole": [x for _, x in rows]})
 
     def cut(batches):
         for pdf in batches:
             done = [(n, sha(b" ".join(w))) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
-            yield pd.DataFrame({"key": pdf["key"], "n_removed": [n for n, _ in done], "kept": [x for _, x in done]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_removed": [n for n, _ in done], "kept": [x for _, x in done]})
 
-    every = docs.select("doc_id", "key", "text").mapInPandas(base, "doc_id long, key long, n_words long, whole string")
-    some = touched(docs, removals(docs, per_doc, window, gram)).mapInPandas(cut, "key long, n_removed long, kept string").dropDuplicates(["key"])
-    return every.join(some, "key", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    every = docs.mapInPandas(base, "doc_id long, row long, n_words long, whole string")
+    some = touched(docs, removals(docs, window, gram)).mapInPandas(cut, "doc_id long, row long, n_removed long, kept string")
+    return with_results(every, some).select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))

@@ -62,7 +62,7 @@ def test_line_dedup_by_brute_force(spark, folder):
     docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op1_line_dedup(spark, folder).collect())) == brute.lines(docs)
     assert any(x[2] for x in brute.lines(docs))
-    texts = {x.key: x.text for x in line_dedup.dedup(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    texts = {x.doc_id: x.text for x in line_dedup.dedup(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
     want = {d: s for d, _, n, s in brute.lines(docs) if n}
     assert {d: brute.sha(t) for d, t in texts.items()} == want
 

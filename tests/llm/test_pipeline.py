@@ -9,6 +9,10 @@ import corpus_pipeline
 from hearthline.llm.queries import tokenizer_file
 
 
+#: Names that an operator might use for itself.
+CLASHING = ["_row", "_slot", "_word", "_bits", "_maybe", "_new", "_d", "_r", "doc.id", "n words"]
+
+
 def kept_by_rules(docs):
     """(doc_id, text) pairs that pass their own rules, where no host is rejected."""
     out = []
@@ -73,7 +77,7 @@ def test_against_brute_force(spark, tmp_path):
             w[r.randrange(len(w))] = "edited"
         docs.append((i, " ".join(w)))
     docs += [(130, None), (131, "same five words come again " * 30), (132, "short"), (133, docs[1][1])]
-    t = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": [t for _, t in docs], "lang": ["en"] * len(docs), "source": ["a"] * len(docs), "n_chars": pa.array([len(t or "") for _, t in docs], pa.int64()), "key": ["clash"] * len(docs), "row": [1] * len(docs)})
+    t = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": [t for _, t in docs], "lang": ["en"] * len(docs), "source": ["a"] * len(docs), "n_chars": pa.array([len(t or "") for _, t in docs], pa.int64()), "key": ["clash"] * len(docs), "row": [1] * len(docs), **{c: list(range(len(docs))) for c in CLASHING}})
     pq.write_table(t, tmp_path / "documents.parquet")
 
     want = without_lines(kept_by_rules(docs))
@@ -89,6 +93,8 @@ def test_against_brute_force(spark, tmp_path):
     rows = state.collect()
     assert sorted((x.doc_id, x.text) for x in rows) == want
     assert all(x.n_chars == len(x.text) for x in rows)
+    place = {d: i for i, (d, _) in enumerate(docs)}
+    assert all(x[c] == place[x.doc_id] for x in rows for c in CLASHING)
 
     tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -97,3 +103,19 @@ def test_against_brute_force(spark, tmp_path):
         ids = tok.encode(text, add_special_tokens=False).ids + [1]
         pieces += [(d, a, len(ids[a : a + 2048]), brute.crc_ids(ids[a : a + 2048])) for a in range(0, len(ids), 2048)]
     assert sorted(map(tuple, (x[:4] for x in got))) == sorted(pieces)
+
+
+def test_edges(spark, tmp_path):
+    """Empty tables, null and repeated doc_ids, equal rows, one long text without spaces."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    some = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, some), (None, some), (4, some + " x"), (4, some + " y"), (4, some + " y"), (5, None), (6, "z" * 200_000), (None, None), (-3, "a b c d e f g h i j k")]
+    for docs in ([], rows):
+        state = spark.createDataFrame([(d, t, "en", None, len(t or "")) for d, t in docs], schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, state = state, stage(spark, state, str(tmp_path))
+            assert state.columns == before.columns
+        got = sorted(((r.doc_id is not None, r.doc_id or 0), r.text) for r in state.collect())
+        want = [((False, 0), some)] * 2 + [((True, -3), rows[-1][1])] + [((True, 4), some + e) for e in (" x", " y", " y")]
+        assert got == (want if docs else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, state, str(tmp_path)).count() == len(got)
