@@ -1,39 +1,30 @@
 """The corpus pipeline over documents: quality rules, line dedup, near dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns that it got; the last
-returns the packed pieces. Decisions travel as rows of one number, a hash of doc_id and text; texts are
+returns the packed pieces. Decisions travel as rows of two numbers, doc_id and a hash of doc_id and text; texts are
 shuffled only where a decision may concern them. Documents left without a word by a dedup stage go.
 
 Null texts count as empty and fail the quality rules; rows without doc_id are judged by quality rules and packed, and
-no dedup stage changes them; equal rows share their fate; empty tables pass through; further columns pass through
-unchanged (n_chars follows the text).
+no dedup stage changes them; rows that share a doc_id are documents of their own; equal rows share their fate; very long texts
+are taken whole; empty tables pass through; further columns, of any name, pass through unchanged (n_chars follows the text).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hearthline.llm import line_dedup, minhash, packing, quality, substring_dedup
 from hearthline.llm.common import read, replaced, table, without
 from hearthline.llm.queries import tokenizer_file
 
-ROW = "_row"
-
-
-def _rows(docs):
-    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-
 
 def _edited(docs, edits):
     """docs with the edited texts, without those in which no word is left."""
-    edits = table(edits.select(F.col("row").alias(ROW), "text"))
-    empty = edits.where(F.length(F.translate("text", quality.SPACES, "")) == 0)
-    return without(replaced(_rows(docs), edits, ROW), empty, ROW).select(docs.columns)
+    edits = table(edits.select("doc_id", "row", "text", "n_words"))
+    worded = replaced(without(docs, edits.where("n_words = 0")), edits.where("n_words > 0"))
+    return worded.select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality_rules(spark, docs, sf_dir):
-    failed = quality.judge(docs).where("NOT kept").select(F.col("row").alias(ROW))
-    return without(_rows(docs), failed, ROW).select(docs.columns)
+    return without(docs, quality.judge(docs).where("NOT kept").select("doc_id", "row"))
 
 
 def lines(spark, docs, sf_dir):
@@ -41,8 +32,7 @@ def lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    copies = minhash.classes(docs).where("NOT kept").select(F.col("row").alias(ROW))
-    return without(_rows(docs), copies, ROW).select(docs.columns)
+    return without(docs, minhash.classes(docs).where("NOT kept").select("doc_id", "row"))
 
 
 def substrings(spark, docs, sf_dir):
