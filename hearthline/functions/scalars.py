@@ -41,6 +41,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised_source(text: Column, name: Column) -> Column:
-    """Source text without comments, its own test name and white space, for duplicate detection."""
+    """Source text without comments and its own test name (with the letter of a part), white space as one space, for duplicate detection."""
     bare = F.regexp_replace(text, r"(?s)/\*.*?\*/|//[^\n]*", "")
-    return F.regexp_replace(F.replace(bare, name), r"\s+", "")
+    named = F.regexp_replace(bare, F.concat(F.lit("\\Q"), name, F.lit("\\E[b-e]?")), F.lit(""))
+    return F.trim(F.regexp_replace(named, r"\s+", " "))

@@ -22,6 +22,12 @@ FLOW_SHAPES = {
     "74": "map value", "81": "virtual method, reference", "82": "virtual method, pointer", "83": "constructor and destructor, stack",
     "84": "constructor and destructor, heap",
 }
+#: How data moves along an edge, by flow code: how it is passed, and whether it comes back from the callee.
+EDGE_KINDS = {
+    "51": "argument", "52": "argument", "53": "argument", "54": "argument", "61": "return", "62": "reference", "63": "pointer", "64": "void pointer",
+    "65": "indirect", "66": "element", "67": "field", "68": "global", "72": "element", "73": "element", "74": "element",
+    "81": "virtual", "82": "virtual", "83": "lifetime", "84": "lifetime",
+}
 #: Last part of a complete chain, by flow.
 CHAIN_ENDS = {"51": "b", "52": "c", "53": "d", "54": "e"}
 
@@ -41,6 +47,11 @@ def _kind(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"^ (\S+)", 1), F.lit(""))
 
 
+def line_count(text: Column) -> Column:
+    """Lines of a text; a final newline ends the last line and starts none."""
+    return F.regexp_count(text, F.lit(r"\n")) + F.when((text == "") | text.endswith("\n"), 0).otherwise(1)
+
+
 def files(sources: DataFrame) -> DataFrame:
     """The file record: parsed name, size, header."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -49,19 +60,20 @@ def files(sources: DataFrame) -> DataFrame:
     header = F.struct(
         _kind(values["bad_source"]).alias("bad_source_kind"), F.trim(values["bad_source"]).alias("bad_source"), F.trim(values["good_source"]).alias("good_source"),
         _kind(values["sink"]).alias("sink_kind"), F.trim(values["good_sink"]).alias("good_sink"), F.trim(values["bad_sink"]).alias("bad_sink"),
-        F.trim(values["template"]).alias("template"), F.trim(values["label_file"]).alias("label_file"),
+        F.trim(values["template"]).alias("template"), F.trim(values["label_file"]).alias("label_file"), F.trim(values["sink"]).alias("sink"),
     )
     return sources.select(
         "path", _found(F.col("path"), r"/(s\d\d)/[^/]+$").alias("split"), name.alias("name"), part(1).cast("int").alias("cwe"),
         part(2).alias("weakness"), part(3).alias("functional_variant"), part(4).alias("flow"), part(5).alias("part"), part(6).alias("polarity"),
-        _found(name, r"\.([^.]+)$").alias("ext"), (F.regexp_count("text", F.lit(r"\n")) + 1).alias("n_lines"), F.octet_length("text").alias("n_bytes"),
+        _found(name, r"\.([^.]+)$").alias("ext"), line_count(F.col("text")).alias("n_lines"), F.octet_length("text").alias("n_bytes"),
         F.when(values["bad_source"].isNotNull(), header).alias("header"), "text",
     )
 
 
 def lines(sources: DataFrame) -> DataFrame:
     """(path, line_no from 1, text, region BAD or GOOD or null): a running state over the region marks of a file."""
-    rows = sources.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+    ended = F.regexp_replace("text", r"\r?\n\z", "")
+    rows = sources.where("text <> ''").select("path", F.posexplode(F.split(ended, r"\r?\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
     mark = (
         F.when(F.regexp_like("text", F.lit(r"^#ifndef OMITBAD")), "BAD").when(F.regexp_like("text", F.lit(r"^#ifndef OMITGOOD")), "GOOD")
         .when(F.regexp_like("text", F.lit(r"^#endif /\* OMIT(BAD|GOOD) \*/")), "")
@@ -136,8 +148,32 @@ def profile(recorded: DataFrame) -> DataFrame:
     )
 
 
-def kinds(recorded: DataFrame, field: str) -> DataFrame:
-    return recorded.where("header IS NOT NULL").groupBy(F.coalesce(f"header.{field}", F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+def kinds(recorded: DataFrame, line: str) -> DataFrame:
+    """Files by the kind that a header line (`bad_source` or `sink`) names, among those that have the line."""
+    return recorded.where(f"header.{line} IS NOT NULL").groupBy(F.coalesce(f"header.{line}_kind", F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def without_region(lined: DataFrame, region: str) -> DataFrame:
+    """What a compiler sees if the macro that omits a region (BAD or GOOD) is defined; marks go too."""
+    mark = F.regexp_like("text", F.lit(r"^#(?:ifndef OMIT(?:BAD|GOOD)|endif /\* OMIT(?:BAD|GOOD) \*/)"))
+    return lined.where(~(F.col("region").eqNullSafe(region) | mark))
+
+
+def compiled(recorded: DataFrame, extensions: tuple[str, ...] = ("c", "cpp")) -> DataFrame:
+    """Directories with the extensions that they compile and how many files of each."""
+    rows = recorded.where(F.col("ext").isin(*extensions)).select(F.regexp_replace("path", r"/[^/]+$", "").alias("directory"), "ext")
+    return rows.groupBy("directory").agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("extensions"), F.count(F.lit(1)).alias("files"))
+
+
+def flow_edges(recorded: DataFrame) -> DataFrame:
+    """Edges between the files of a test case: (src, dst, type). Parts follow each other by letter; a value that is returned flows back."""
+    kind = F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv])
+    rows = recorded.where(F.col("part").isNotNull()).select("path", "cwe", "functional_variant", "flow", F.ascii("part").alias("at"))
+    case = ["cwe", "functional_variant", "flow"]
+    after = rows.select(*case, (F.col("at") - 1).alias("at"), F.col("path").alias("dst"))
+    pairs = rows.withColumnRenamed("path", "src").join(after, [*case, "at"]).withColumn("type", kind[F.col("flow")])
+    back = F.col("type") == "return"
+    return pairs.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
 
 
 def duplicates(sources: DataFrame) -> DataFrame:

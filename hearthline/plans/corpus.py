@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import scalars
-from hearthline.operators import corpus
+from hearthline.operators import corpus, vectors
 from hearthline.plans.registry import register
 from hearthline.sources.tables import table
 
@@ -94,11 +94,11 @@ def symbol_names(spark, d):
     return corpus.names_by_binary(rows, "O")
 
 
-@register("affixed_names", "SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: 'lib' || regexp_replace(x, 'e$', '') || '.a') [1] AS first FROM part")
+@register("affixed_names", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: 'lib' || regexp_replace(x, 'e$', '') || '.a'), ' ') AS names FROM part")
 def affixed_names(spark, d):
     """Pattern and affix maps over a list."""
     words = scalars.mapped(F.split("p_name", " "), "e$", "")
-    return table(spark, d, "part").select("p_partkey", F.get(scalars.affixed(words, "lib", ".a"), 0).alias("first"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(scalars.affixed(words, "lib", ".a"), " ").alias("names"))
 
 
 @register("paired_files", "SELECT a.o_custkey AS stem, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'O' AND b.o_orderstatus = 'F' GROUP BY 1")
@@ -116,7 +116,27 @@ def guarded_arithmetic(spark, d):
     return table(spark, d, "events").select("event_id", scalars.safe_modulo(F.col("event_id"), by).alias("m"), F.round(scalars.safe_divide(F.col("value"), by), 6).alias("q"))
 
 
-@register("nearest_by_label", "SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings GROUP BY label")
+@register(
+    "nearest_by_label",
+    """WITH v AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings),
+    s AS (SELECT label, list(x ORDER BY i) AS s, max(n) AS n FROM (SELECT label, i, CAST(sum(v[i]) AS BIGINT) AS x, count(*) AS n FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM v) GROUP BY label, i) GROUP BY label),
+    d AS (SELECT v.vec_id, v.label, s.label AS other, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(v.v, s.s)]) AS DOUBLE) / s.n AS score FROM v, s)
+    SELECT label, nearest, count(*) AS n FROM (SELECT vec_id, label, other AS nearest FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) = 1) GROUP BY label, nearest""",
+)
 def nearest_by_label(spark, d):
+    """For each vector the label with the nearest centre, by inner product on integers: one pass over the vectors against one row that holds all centres."""
+    fixed = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
+    return vectors.labels_by_nearest(table(spark, d, "embeddings").select("vec_id", "label", fixed.alias("v")))
+
+
+@register("label_sizes", "SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings GROUP BY label")
+def label_sizes(spark, d):
     e = table(spark, d, "embeddings")
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(scalars.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+@register("props_map", "SELECT event_type, 'k' AS key, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def props_map(spark, d):
+    """A map column: entries of the payload as keys and values."""
+    rows = table(spark, d, "events").select("event_type", F.explode(F.from_json("props", "map<string, bigint>")).alias("key", "x"))
+    return rows.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))

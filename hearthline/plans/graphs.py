@@ -53,70 +53,64 @@ def reachable_by_depth(spark, d):
 
 @register(
     "recursive_depths",
-    f"WITH RECURSIVE {EDGES}, w AS (SELECT 'r2' AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT depth, count(*) AS n FROM w GROUP BY depth",
+    f"WITH RECURSIVE {EDGES}, w AS (SELECT 'r2' AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT depth, count(*) AS n FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id) GROUP BY depth",
 )
 def recursive_depths(spark, d):
-    """Reachability as one recursive query; UNION ALL paths are counted once a node."""
-    return spark.sql(
-        "WITH RECURSIVE w(id, depth) AS (SELECT 'r2', 0 UNION ALL SELECT e.dst, depth + 1 FROM w JOIN {e} e ON e.src = w.id WHERE depth < 3) SELECT depth, count(DISTINCT id) AS n FROM w GROUP BY depth",
-        e=edges(spark, d),
-    )
+    """What a recursive query is for, by frontiers: recursion with UNION ALL would walk every path."""
+    roots = spark.createDataFrame([("r2",)], "id string")
+    return graph.reachable(edges(spark, d), roots, 3).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(
-    "connected_parts",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders WHERE o_orderkey % 50 = 0),
-    u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-    w AS (SELECT x AS id, x AS r FROM u UNION SELECT u.y, w.r FROM w JOIN u ON u.x = w.id) SELECT component, count(*) AS n FROM (SELECT id, min(r) AS component FROM w GROUP BY id) GROUP BY component""",
-)
-def connected_parts(spark, d):
-    """Over one order in 50, as its SQL says; connected_parts_all has all of them."""
-    return order_parts(table(spark, d, "orders").where("o_orderkey % 50 = 0"))
+@register("topological_depths", f"WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS id, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id) SELECT id, max(depth) AS depth FROM w GROUP BY id")
+def topological_depths(spark, d):
+    """Longest path to each node."""
+    return graph.topological_depth(edges(spark, d))
 
 
-def order_parts(orders):
-    o = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
-    return graph.components(graph.edges_of(o, "a", "b", "CALLS")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+#: Kinds of event that follow each other for a user, once cheap ones have been seen: a small graph with cycles.
+FOLLOWS = """SELECT DISTINCT event_type AS src, nxt AS dst FROM (SELECT event_type, value, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events})
+    WHERE nxt IS NOT NULL AND (event_type < nxt OR event_type IN ('error', 'view')) AND (event_type, nxt) NOT IN (('view', 'click'), ('view', 'purchase'), ('view', 'error'))"""
+
+
+@register(
+    "strong_parts",
+    f"""WITH RECURSIVE e AS ({FOLLOWS.format(events="events")}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+    w AS (SELECT id AS a, id AS b FROM v UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b) SELECT x.a AS id, min(x.b) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
+)
+def strong_parts(spark, d):
+    """Strongly connected components."""
+    return graph.strong_components(spark.sql(FOLLOWS, events=table(spark, d, "events")))
 
 
 @register(
-    "connected_parts_all",
+    "connected_parts",
     """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders),
     u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
     w AS (SELECT x AS id, x AS r FROM u UNION SELECT u.y, w.r FROM w JOIN u ON u.x = w.id) SELECT component, count(*) AS n FROM (SELECT id, min(r) AS component FROM w GROUP BY id) GROUP BY component""",
 )
-def connected_parts_all(spark, d):
+def connected_parts(spark, d):
     """Components of all orders and customers."""
     return order_parts(table(spark, d, "orders"))
 
 
-@register("pinned_functions", "SELECT p_partkey, p_name FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 3)")
+def order_parts(orders):
+    o = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    return graph.components(graph.edges_of(o, "a", "b", "CALLS")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pinned_functions", "SELECT p_partkey, p_name FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)")
 def pinned_functions(spark, d):
-    """Rows whose name is among the known ones."""
+    """Rows whose name is among the known ones, those of the largest parts."""
     p = table(spark, d, "part")
-    known = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_brand").limit(3)
-    return graph.pinned(p, known, "p_brand").select("p_partkey", "p_name")
+    return graph.pinned(p, p.where("p_size = 50"), "p_brand").select("p_partkey", "p_name")
 
 
 @register(
     "struct_layouts",
-    "SELECT l_orderkey AS base, string_agg(DISTINCT l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber || ':' || CAST(l_quantity AS BIGINT)) AS fields FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1",
+    "SELECT l_orderkey AS base, string_agg(DISTINCT l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber || ':' || CAST(l_quantity AS BIGINT)) AS fields FROM lineitem GROUP BY 1",
 )
 def struct_layouts(spark, d):
-    """D22 over one order in 10, as its SQL says; struct_layouts_all has all of them."""
-    return field_layouts(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-def field_layouts(lines):
-    rows = lines.select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("bigint").alias("width"))
+    """Set of (offset, width) of each base pointer."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("bigint").alias("width"))
     text = F.array_sort(F.transform("fields", lambda f: F.concat_ws(":", f["at"], f["width"])))
     return graph.layouts(rows).select("base", F.array_join(text, ",").alias("fields"))
-
-
-@register(
-    "struct_layouts_all",
-    "SELECT l_orderkey AS base, string_agg(DISTINCT l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber || ':' || CAST(l_quantity AS BIGINT)) AS fields FROM lineitem GROUP BY 1",
-)
-def struct_layouts_all(spark, d):
-    """Set of (offset, width) of each base pointer."""
-    return field_layouts(table(spark, d, "lineitem"))

@@ -24,8 +24,7 @@ def write_event_log(events: DataFrame, path: str) -> None:
 
 
 def source_files(spark: SparkSession, root: str, pattern: str = "*.{c,cpp,h}") -> DataFrame:
-    """(path, text) of every matching file at any depth below root. Small files are packed by lowering the open cost."""
-    spark.conf.set("spark.sql.files.openCostInBytes", str(16 << 10))
+    """(path, text) of every matching file at any depth below root."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
@@ -43,6 +42,21 @@ def binaries(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", F.regexp_replace(name, "_symbols$", "").alias("stem"), name.endswith("_symbols").alias("has_symbols"))
 
 
+#: One binary's ground truth: its functions with their types, as extracted from debug information.
+TRUTH_SCHEMA = "binary STRING, functions ARRAY<STRUCT<name: STRING, address: BIGINT, type: STRING>>, _corrupt STRING"
+
+
+def ground_truth(spark: SparkSession, path: str, schema: str | StructType = TRUTH_SCHEMA) -> DataFrame:
+    """(binary, name, address, type) of each function in JSON files, a document a file; files that do not parse come with corrupt set."""
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return truth_rows(docs)
+
+
+def truth_rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("binary", F.col("_corrupt").alias("corrupt"), F.explode_outer("functions").alias("f"))
+    return rows.select("binary", "f.name", "f.address", "f.type", "corrupt").where("name IS NOT NULL OR corrupt IS NOT NULL")
+
+
 def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Wanted rows that are not there yet: what a cache would have to fetch."""
     return wanted.join(present, key, "left_anti")

@@ -102,7 +102,9 @@ def test_files(spark, sources):
     r = rows["CWE9_Demo__int_83_bad.cpp"]
     assert (r.polarity, r.part) == ("bad", None)
     assert rows["CWE8_Hand_Written__empty_01.c"].header is None
-    assert {(r.kind, r.files) for r in corpus.kinds(corpus.files(sources), "bad_source_kind").collect()} == {("rand", 3), ("", 3)}
+    assert {(r.kind, r.files) for r in corpus.kinds(corpus.files(sources), "bad_source").collect()} == {("rand", 3), ("", 3)}
+    assert {(r.kind, r.files) for r in corpus.kinds(corpus.files(sources), "sink").collect()} == {("add", 2), ("print", 1), ("", 1)}
+    assert rows["testcases.h"].n_lines == 2
 
 
 def test_lines_markers_functions(lined):
@@ -133,6 +135,23 @@ def test_cases_chains_profile(sources, lined):
     assert set(corpus.FLOW_SHAPES) >= set(corpus.CHAIN_ENDS)
 
 
+def test_line_ends(spark):
+    texts = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\r\n"]
+    rows = spark.createDataFrame([(f"/x/{i}.c", t) for i, t in enumerate(texts)], "path string, text string")
+    lined = {r.path: r.n for r in corpus.lines(rows).groupBy("path").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()}
+    assert [lined.get(f"/x/{i}.c", 0) for i in range(6)] == [0, 1, 1, 2, 1, 2]
+    assert [r.n_lines for r in corpus.files(rows).orderBy("path").collect()] == [0, 1, 1, 2, 1, 2]
+
+
+def test_regions_and_directories(sources, lined):
+    bad_gone = {r.text for r in corpus.without_region(lined, "BAD").where("path LIKE '%52b.c'").collect()}
+    assert not any("BAD" in t or "_badSink(int" in t for t in bad_gone) and any("goodG2BSink" in t for t in bad_gone)
+    assert {(r.directory.rsplit("/", 1)[1], r.extensions, r.files) for r in corpus.compiled(corpus.files(sources)).collect()} == {("s01", "c,cpp", 5), ("CWE8_Hand_Written", "c", 1)}
+    edges = {(e.src.rsplit("/", 1)[1], e.dst.rsplit("/", 1)[1], e.type) for e in corpus.flow_edges(corpus.files(sources)).collect()}
+    assert edges == {("CWE9_Demo__int_52b.c", "CWE9_Demo__int_52c.c", "argument")}
+    assert set(corpus.EDGE_KINDS) | {"01"} == set(corpus.FLOW_SHAPES)
+
+
 def test_scans(spark, root, sources):
     assert tables.two_levels(spark, root, "Makefile").count() == 2
     assert tables.source_files(spark, root, "*.bat").count() == 1

@@ -18,19 +18,19 @@ def test_components_of_all_orders(spark, tmp_path):
     parts = {}
     for o, c in orders:
         parts.setdefault(f"c{c}", {f"c{c}"}).add(f"o{o}")
-    got = run(spark, tmp_path, "connected_parts_all", "orders", orders, "o_orderkey long, o_custkey long")
+    got = run(spark, tmp_path, "connected_parts", "orders", orders, "o_orderkey long, o_custkey long")
     assert got == sorted((min(p), len(p)) for p in parts.values())
 
 
 def test_layouts_of_all_base_keys(spark, tmp_path):
     lines = [(1, 2, 5.0), (1, 1, 7.0), (1, 2, 5.0), (9, 1, 3.0), (10, 1, 4.0), (11, 3, 6.0)]
-    got = run(spark, tmp_path, "struct_layouts_all", "lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double")
+    got = run(spark, tmp_path, "struct_layouts", "lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double")
     assert got == [(1, "1:7,2:5"), (9, "1:3"), (10, "1:4"), (11, "3:6")]
 
 
 def test_payloads_of_all_events(spark, tmp_path):
     events = [(1, '{"k": 5}'), (2, "{broken"), (10, '{"k": 7}'), (13, "{}"), (20, '{"k": "x"}')]
-    got = run(spark, tmp_path, "payload_parsed_all", "events", events, "event_id long, props string")
+    got = run(spark, tmp_path, "payload_parsed", "events", events, "event_id long, props string")
     assert got == [(1, 5, False), (2, None, True), (10, 7, False), (13, None, False), (20, None, True)]
 
 
