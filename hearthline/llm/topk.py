@@ -5,13 +5,19 @@ sum L * ((m_q - m_c)^2 + (s_q - s_c)^2); with the norms known this is the same a
 sum L * (m_q * m_c + s_q * s_c). Levels go from one segment to many; a candidate whose bound at a level is below the query's
 k-th score so far is out, and survivors get exact integer products.
 
-Rows travel as packed blocks. A query block meets every candidate block by an equi-join on a slot number: candidate
-blocks have one slot each, query blocks are repeated once for each slot (a stated query set against all rows, in
-blocks). A task keeps k rows for each query of the blocks it sees; the last step ranks those.
+Bounds are computed in floating point; a candidate goes only if its bound is below by more than the rounding of both vectors' norms can
+explain, so none is lost whatever the magnitudes.
+
+Rows travel as packed blocks. A query block meets every candidate block by an equi-join on a slot and a group number: candidate
+blocks have one slot each and stand once in each group, query blocks have one group each and stand once in each slot (a stated query set
+against all rows, in blocks). A task gives its best rows on at the end of each slot and group, so it holds k rows for GROUP queries
+at most; the last step ranks those.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id; vectors of
 another length than the query's are no candidates; rows with the query's own id are no candidates; of several query rows
-with one id the least vector is the query; repeated candidate rows each take a rank; further columns are not read.
+with one id the least vector is the query; repeated candidate rows each take a rank; components beyond 64 bits are taken as the nearest
+64-bit integer; scores are compared exactly whatever their size, and those beyond 64 bits are shown as the nearest 64-bit integer; an
+empty table gives no rows; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +35,13 @@ SCALE = 1024
 LEVELS = (1, 4, 16)
 #: Vectors in a block of candidates or queries, at most.
 BLOCK = 2048
-#: Groups that candidate blocks are dealt into, at least; more where the cluster shuffles into more partitions.
+#: Slots that candidate blocks are dealt into, at least; more where the cluster shuffles into more partitions.
 SLOTS = 64
+#: Queries in a group, about.
+GROUP = 1 << 14
+#: Rounding of a bound, in units of the last place for each component: several times what its sums and roots can lose.
+ROUNDING = 16 * np.finfo(float).eps
+LONG = (1 << 63) - 1
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -72,8 +83,8 @@ class Block:
                 x = self.f.reshape(n, segments, -1)
                 size = x.shape[2] ** 0.5
                 self.levels.append(np.concatenate((x.mean(axis=2) * size, x.std(axis=2) * size), axis=1))
-        top = int(np.abs(self.v).max()) if self.v.size else 0
-        self.top = top
+        self.norm = np.sqrt((self.f**2).sum(axis=1))
+        self.top = max(int(self.v.max()), -int(self.v.min())) if self.v.size else 0
 
 
 def products(q: np.ndarray, c: Block, at: np.ndarray, top: int) -> np.ndarray:
@@ -101,7 +112,7 @@ def search(q: Block, c: Block, best: dict, k: int) -> int:
             for mine, theirs in zip(q.levels, c.levels, strict=True):
                 if not len(at):
                     break
-                slack = 1e-6 * (1.0 + abs(float(floor)))
+                slack = ROUNDING * (q.v.shape[1] + 16) * (q.norm[i] * c.norm[at] + abs(float(floor)))
                 at = at[theirs[at] @ mine[i] >= float(floor) - slack]
         if not len(at):
             continue
@@ -119,26 +130,38 @@ def topk(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     vectors = quantised(embeddings)
     asked = vectors.where(F.expr(f"vec_id % {every} = 0")).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = max(SLOTS, parts(embeddings.sparkSession))
-    slots = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = blocks(asked.select("vec_id", "v")).select(slots.alias("slot"), "dims", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("values").alias("qv"))
-    c = blocks(vectors).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
+    groups = max(1, -(-embeddings.where(F.expr(f"vec_id % {every} = 0")).select("vec_id").distinct().count() // GROUP))
+    repeated = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k: F.pmod(F.xxhash64("ids"), F.lit(k)).cast("int")
+    q = blocks(asked.select("vec_id", "v")).withColumn("grp", dealt(groups))
+    q = q.select(repeated(n).alias("slot"), "grp", "dims", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("values").alias("qv"))
+    c = blocks(vectors).withColumn("slot", dealt(n)).withColumn("grp", repeated(groups))
 
     def run(batches):
         best: dict = {}
         seen: dict = {}
+        own = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
+                if own != (r.slot, r.grp):
+                    yield from ranked(best)
+                    best, seen, own = {}, {}, (r.slot, r.grp)
                 if (r.dims, r.qids) not in seen:
                     if len(seen) >= 16:
                         seen.clear()
                     seen[r.dims, r.qids] = Block(r.dims, r.qn, r.qids, r.qv)
                 search(seen[r.dims, r.qids], Block(r.dims, r.n, r.ids, r.values), best, k)
-        rows = [(q, int(i), int(s)) for q, (scores, ids) in best.items() for s, i in zip(scores, ids, strict=True)]
-        for i in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[i : i + 50_000], columns=["query_id", "vec_id", "score"])
+        yield from ranked(best)
+
+    def ranked(best):
+        rows = [(q, i, int(s)) for q, (scores, ids) in best.items() for s, i in zip(scores, ids, strict=True)]
+        for at in range(0, len(rows), 50_000):
+            q, i, s = zip(*rows[at : at + 50_000], strict=True)
+            shown = [min(max(x, -LONG - 1), LONG) for x in s]
+            yield pd.DataFrame({"query_id": q, "vec_id": i, "score": shown, "exact": [(x + (1 << 191)).to_bytes(24, "big") for x in s]})
 
-    found = c.join(q, ["slot", "dims"]).mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = c.join(q, ["slot", "grp", "dims"]).mapInPandas(run, "query_id long, vec_id long, score long, exact binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 

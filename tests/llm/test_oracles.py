@@ -84,6 +84,44 @@ def test_large_products_stay_exact():
     assert [int(x) for x in topk.products(q.v[0], c, np.arange(3), q.top)] == [(3 << 40) ** 2 + 1, -((3 << 40) ** 2) + 5, (21 << 40) + 9]
 
 
+def plain_topk(rows, every=100, k=10):
+    q = {}
+    for i, v in rows:
+        if i % every == 0:
+            q[i] = min(q.get(i, v), v)
+    return sorted((i, r + 1, c, s) for i, v in q.items() for r, (s, c) in enumerate(sorted(((-sum(a * b for a, b in zip(v, w)), c) for c, w in rows if c != i and len(w) == len(v)))[:k]) for s in [-s])
+
+
+def test_bounds_lose_nothing():
+    """Quantised components up to 2**29, where rounding is far larger than differences between scores."""
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        n, top = 60, 1 << int(rng.integers(5, 30))
+        v = rng.integers(-top, top, (n, 16))
+        if trial % 3 == 0:
+            v = v[rng.integers(0, 4, n)] + rng.integers(-1, 2, (n, 16))
+        elif trial % 3 == 1:
+            v = np.repeat(v[:, :1], 16, axis=1) + rng.integers(-1, 2, (n, 16))
+        best = {}
+        q = topk.Block(16, 1, np.array([0]).tobytes(), v[:1].tobytes())
+        for part in (range(0, 30), range(30, n)):
+            topk.search(q, topk.Block(16, len(part), np.array(part).tobytes(), v[list(part)].tobytes()), best, 10)
+        got = [(int(s), int(i)) for s, i in zip(*best[0], strict=True)]
+        assert got == [(s, i) for _, _, i, s in plain_topk(list(enumerate(v.tolist())))], trial
+
+
+@pytest.mark.parametrize("group", [1 << 14, 1])
+def test_topk_of_large_values_and_clashing_names(spark, monkeypatch, group):
+    monkeypatch.setattr(topk, "GROUP", group)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    r = random.Random(2)
+    rows = [(i * 20, [float(r.choice([3_000_000, -3_000_000, 1 << 40, 5])) for _ in range(4)]) for i in range(30)] + [(100, [1.0] * 4), (7, [1e300] * 4)]
+    df = spark.createDataFrame([(i, v, "x", 1, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, v string, slot int, dims int, grp int")
+    whole = [(i, [min(int(x * 1024), (1 << 63) - 1) for x in v]) for i, v in rows]
+    want = [(a, b, c, max(min(s, (1 << 63) - 1), -(1 << 63))) for a, b, c, s in plain_topk(whole)]
+    assert sorted(map(tuple, topk.topk(df).collect())) == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     from hearthline.llm import quality
