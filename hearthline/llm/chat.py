@@ -10,15 +10,16 @@ An example's context is as long as the conversation before it: that is the metho
 of one conversation, and conversations are sorted, not collected.
 
 Defined cases: a null text is empty, a null role is the role ``; rows of a conversation are taken by turn (null
-turns last), then role, then text, and repeated rows are repeated turns; rows without conv_id form one
-conversation without id; an empty table gives no examples; further columns are not read.
+turns last), then role, then text, and repeated rows are repeated turns; a row without conv_id is a
+conversation of one turn, so such rows never meet; a very long conversation is formatted like any other, its prefix held once; an empty table gives no
+examples; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import groupby
+from itertools import count, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,18 +76,19 @@ def turns_of(text: str) -> list[tuple[str, str]]:
 
 
 def _by_conversation(conversations: DataFrame) -> DataFrame:
-    """Rows dealt by conversation and sorted within; columns conv_id (as a string), role, text."""
+    """Rows dealt by conversation and sorted within, rows without one spread; columns conv_id (as a string), role, text."""
     df = conversations.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     small_batches(df.sparkSession)
-    df = df.repartition(parts(df.sparkSession), "conv_id")
+    df = df.repartition(parts(df.sparkSession), F.coalesce(F.col("conv_id").cast("long"), F.xxhash64("turn", "role", "text")))
     df = df.sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "text")
     return df.select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text")
 
 
 def _conversations(batches):
-    """(conv_id, iterator of turns), across batches."""
+    """(conv_id, iterator of turns), across batches; a row without conv_id comes alone."""
     rows = (row for pdf in batches for row in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True))
-    return groupby(rows, key=lambda r: r[0])
+    alone = count()
+    return ((key[0], turns) for key, turns in groupby(rows, key=lambda r: (r[0], next(alone) if r[0] is None else None)))
 
 
 def _frame(rows, columns):
@@ -143,20 +145,20 @@ def digest(conversations: DataFrame) -> DataFrame:
 #: The same rows in DuckDB SQL, with the extra conversation -7.
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 m AS (
   SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g')) + CASE role
     WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 WHEN 'system' THEN 16
     ELSE 19 + length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) END AS chars
   FROM c),
 p AS (
-  SELECT *, sum(chars) OVER w AS upto, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
-  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING))
+  SELECT *, sum(chars) OVER w AS upto, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, alone) AS n
+  FROM m WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, alone
 """
