@@ -7,8 +7,9 @@ and the history of the bitset gives back how many pieces of each length it takes
 lengths last, so the plan stays a few thousand rows for any corpus. Pieces then find their place by their rank
 within their length, which is a row number in a hash bucket plus the bucket's offset.
 
-Defined cases: null and empty texts are one piece, the end id alone; equal rows are packed once each; rows without doc_id
-are packed like others; further columns are not read.
+Defined cases: null and empty texts are one piece, the end id alone; an empty table gives no rows; a very long text is cut in as many pieces as it takes; a very
+long word, as in texts without spaces, is encoded each time and not kept; equal rows are packed once each; rows without doc_id are packed like others; lengths that
+tie are told apart by a hash; further columns, of any name, are not read.
 """
 
 from __future__ import annotations

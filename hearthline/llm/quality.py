@@ -12,7 +12,8 @@ Verdict: a host is rejected if its shrunk failure rate is over HOST_RATE; a docu
 is not rejected.
 
 Defined cases: null and empty texts have no words and fail; rows without source form one host of their own; equal rows count
-once each; rows without doc_id are judged like others; an empty table gives no rows; further columns are not read.
+once each; rows without doc_id are judged like others, and rows that share a doc_id each by its own text; a very long text is one row like any other; an empty table
+gives no rows; further columns, of any name, are not read.
 """
 
 from __future__ import annotations

@@ -4,13 +4,14 @@ Encoding does not replay merges over the text. An Aho-Corasick pass finds the lo
 are then taken greedily, each compatible with the one before, with shorter prefixes tried next and a bitfield of places
 from which no completion exists. Two adjacent pieces are compatible if re-merging their characters gives
 just these two; verdicts are kept. Text is first cut where no piece of the vocabulary can span
-(before a space mark, around line ends), so that encodings of frequent cuts are kept, CACHE_WORDS at most.
+(before a space mark, around line ends), so that encodings of frequent cuts are kept, CACHE_WORDS at most and none of a long cut.
 
 Pieces of equal score (runs of spaces in some models) merge leftmost first; re-merging follows that, and tests hold
 such runs against the library.
 
-Defined cases: null texts are empty; an empty text has the begin and end ids only; unknown characters become byte
-pieces; further columns are not read; rows are independent, so ties and repeats change nothing.
+Defined cases: null texts are empty; an empty text has the begin and end ids only; an empty table gives no rows; a very long text is encoded whole, in time linear in its
+length also where it has no spaces; unknown characters become byte pieces; further columns, of any name, are not read; rows are independent, so ties and repeats
+change nothing and rows without doc_id are encoded like others.
 """
 
 from __future__ import annotations

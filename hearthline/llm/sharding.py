@@ -8,8 +8,8 @@ ranges are split by one job each round, SLICES ways, until the answer is exact.
 about shards * SLICES * rounds numbers.
 
 Defined cases: null texts are empty (size 1) and equal to empty ones; equal rows keep a slot each; rows without
-doc_id belong to their text's group, and come last if it has no doc_id; an empty table gives no rows;
-further columns are not read.
+doc_id belong to their text's group, and come last if it has no doc_id; groups that tie are ordered by a digest of their text; a very long text is a group that no
+cut divides, so the least capacity is its size at least; an empty table gives no rows; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
