@@ -6,7 +6,7 @@ known by the suffix that starts at the anchor. Three passes sort them, deeper ea
 
 1. Anchored suffixes are dealt by their leading 16 bytes, as two numbers, into ranges between sampled splitters, and sorted there. A suffix without a neighbour of the
    same 16 bytes is alone: none of its run's strings occurs elsewhere.
-2. Runs that are tied travel with their bytes, range-partitioned by leading bytes and doc_id, with splitters that Spark samples. A bucket sorts
+2. Runs that are tied travel with their bytes, range-partitioned by leading bytes and doc_id between splitters sampled from them. A bucket sorts
    whole runs and then all their suffixes, to a depth of 100 bytes, by multikey quicksort of eight-byte characters; equal neighbours
    are repeats. Splitters may fall among suffixes with equal leading bytes, so a very frequent one is shared by several buckets.
 3. What is left of a bucket's first and last leading bytes, and of leading bytes with too many different runs for one task, goes on one suffix at
@@ -19,6 +19,8 @@ doc_ids may be negative or large; equal rows give equal results; further columns
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,9 +33,9 @@ from hearthline.llm.repeats import Bucket, Bytes, FirstOfBatch, Powers, groups,
 
 LENGTH = 100
 GRAM = 20
-#: Ranges of leading bytes for each shuffle partition, and documents whose suffixes are sampled for splitters, about.
-RANGES = 4
+#: Documents and tied runs that are sampled for splitters, about. Only the balance of partitions depends on them.
 SAMPLE = 4000
+RUN_SAMPLE = 200_000
 #: Rows that a task holds before it gives them on.
 HELD_ROWS = 100_000
 
@@ -80,21 +82,29 @@ def anchored(docs: DataFrame, length: int, gram: int, splitters: list[int] | Non
     def rows(out):
         k1, k2, doc, row, a, b, alone, settled = (np.concatenate(x) for x in zip(*out, strict=True))
         which = np.searchsorted(np.array(splitters or [], np.int64), k1, "right")
-        columns = [pa.array(which, pa.int64()), pa.array(k1), pa.array(k2, mask=settled), pa.array(doc), pa.array(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(alone)]
+        columns = [pa.array(which, pa.int32()), pa.array(k1), pa.array(k2, mask=settled), pa.array(doc), pa.array(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(alone)]
         return pa.RecordBatch.from_arrays(columns, names=["range", "k1", "k2", "doc_id", "row", "a", "b", "alone"])
 
     small_batches(docs.sparkSession)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "range long, k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "range int, k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
 
 
 def sampled_splitters(docs: DataFrame, length: int, gram: int, ranges: int) -> list[int]:
-    """Leading bytes that cut the suffixes of a sample into ranges of like size. Only the balance depends on them."""
+    """Leading bytes that cut the suffixes of a sample into ranges of like size."""
     rows = docs.count()
     some = docs.sample(min(1.0, SAMPLE / max(rows, 1)), seed=9) if rows > SAMPLE else docs
     cuts = anchored(some, length, gram).agg(F.percentile_approx("k1", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
     return sorted(set(cuts or []))
 
 
+def run_splitters(runs: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    """(k1, k2, doc_id) that cut a sample of the tied runs into ranges of like size."""
+    rows = runs.count()
+    some = runs.sample(min(1.0, RUN_SAMPLE / max(rows, 1)), seed=9) if rows > RUN_SAMPLE else runs
+    order = sorted(map(tuple, some.select("k1", "k2", "doc_id").collect()))
+    return sorted({order[len(order) * i // ranges] for i in range(1, ranges)}) if order else []
+
+
 def tied(dealt: DataFrame) -> DataFrame:
     """Of rows sorted by k1 and k2 within their partition, those with an equal neighbour, those that may repeat within themselves and the settled ones."""
 
@@ -125,12 +135,13 @@ def tied(dealt: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Ranges of bytes to remove, (doc_id, row, a, b), for docs (doc_id, row, text)."""
     n = parts(docs.sparkSession)
-    splitters = sampled_splitters(docs, length, gram, RANGES * n)
-    ranges = F.when(F.col("k2").isNull(), F.xxhash64("row", "a")).otherwise(F.col("range"))
-    dealt = anchored(docs, length, gram, splitters).withColumn("range", ranges).repartition(n, "range").sortWithinPartitions("k1", "k2").drop("range")
+    splitters = sampled_splitters(docs, length, gram, n)
+    ranges = F.when(F.col("k2").isNull(), F.pmod(F.xxhash64("row", "a"), F.lit(n)).cast("int")).otherwise(F.col("range"))
+    dealt = anchored(docs, length, gram, splitters).withColumn("range", ranges).repartitionById(n, "range").sortWithinPartitions("k1", "k2").drop("range")
     left = table(tied(dealt))
 
     open_runs = left.where("k2 IS NOT NULL")
+    cuts = run_splitters(open_runs, n)
     wanted = open_runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("k1", "k2", "a", "b", "alone")).alias("runs"))
     texts = maybe_in(docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), open_runs, "row").join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
 
@@ -139,17 +150,17 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             rows = []
             for doc, row, text, runs in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["runs"], strict=True):
                 data = text.encode()
-                rows += [(r["k1"], r["k2"], doc, row, r["a"], r["b"], r["alone"], data[r["a"] : r["b"]]) for r in runs]
+                rows += [(bisect_right(cuts, (r["k1"], r["k2"], doc)), r["k1"], r["k2"], doc, row, r["a"], r["b"], r["alone"], data[r["a"] : r["b"]]) for r in runs]
                 if len(rows) >= HELD_ROWS // 4:
                     yield frame(rows)
                     rows = []
             yield frame(rows)
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=["k1", "k2", "doc_id", "row", "a", "b", "alone", "part"])
+        return pd.DataFrame(rows, columns=["range", "k1", "k2", "doc_id", "row", "a", "b", "alone", "part"])
 
-    sent = table(texts.mapInPandas(packed, "k1 long, k2 long, doc_id long, row long, a long, b long, alone boolean, part binary"))
-    buckets = sent.repartitionByRange(n, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2")
+    sent = texts.mapInPandas(packed, "range int, k1 long, k2 long, doc_id long, row long, a long, b long, alone boolean, part binary")
+    buckets = sent.repartitionById(n, "range").sortWithinPartitions("k1", "k2")
     out = table(in_buckets(buckets, Bucket(Bytes, length, False), edges=True))
     settled = left.where("k2 IS NULL").select("doc_id", "row", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     return ranges_of(out).union(single_windows(out, False, n)).union(settled)
