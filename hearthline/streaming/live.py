@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from hearthline.operators.time import windowed
 
@@ -30,6 +31,39 @@ def session_counts(events: DataFrame, key: str, gap: str, late: str) -> DataFram
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class Streaks(StatefulProcessor):
+    """Counts each key's errors in a row over micro-batches; its state is one number."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.streak = handle.getValueState("streak", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = self.streak.get()[0] if self.streak.exists() else 0
+        alarms = []
+        batch = pd.concat(list(rows))
+        for at, kind in batch.sort_values(["ts", "event_id"])[["event_id", "event_type"]].itertuples(index=False):
+            n = n + 1 if kind == "error" else 0
+            if n == self.limit:
+                alarms.append(at)
+        self.streak.update((n,))
+        yield pd.DataFrame({"user_id": [key[0]] * len(alarms), "event_id": alarms}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def streak_alarms(events: DataFrame, limit: int) -> DataFrame:
+    """(user_id, event_id) of the event with which a user's errors in a row reach the limit; events arrive in order across micro-batches.
+
+    The session's spark.sql.streaming.stateStore.providerClass must name the RocksDB provider, which keeps state beyond memory.
+    """
+    rows = events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
+    return rows.transformWithStateInPandas(Streaks(limit), "user_id long, event_id long", "Append", "None")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there and stops; a restart goes on from the checkpoint, exactly once."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

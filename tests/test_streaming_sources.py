@@ -40,6 +40,22 @@ def test_push_and_dedup(spark, events, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["user_id", "start", "end", "n"]
 
 
+def test_streaks_over_micro_batches(spark, events, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kinds = [(1, "error"), (2, "error"), (1, "error"), (1, "view"), (1, "error"), (2, "error"), (1, "error"), (1, "error"), (2, "click")]
+        rows = [(i, i, u, k) for i, (u, k) in enumerate(kinds)]
+        df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string")
+        df = df.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type", "0.0D AS value", "'' AS props")
+        src, out = str(tmp_path / "src"), str(tmp_path / "out")
+        for part in ("event_id < 5", "event_id >= 5"):
+            df.where(part).coalesce(1).write.mode("append").parquet(src)
+            live.run_available(live.streak_alarms(live.event_stream(spark, src, df), 3), out, str(tmp_path / "ck"))
+        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(1, 7)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_event_log(spark, events, tmp_path):
     path = str(tmp_path / "log")
     tables.write_event_log(events.limit(5), path)
