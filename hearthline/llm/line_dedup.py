@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import small_batches, table
-from hearthline.llm.repeats import FirstOfBatch, in_order, merged, numbered, sha, touched, with_results
+from hearthline.llm.repeats import in_order, merged, numbered, sha, touched, with_results
 
 WINDOW = 3
-#: Windows that a task holds before it gives them on.
+#: Windows that a task holds before it gives them on, and windows of a batch among which it looks for those that come again.
 HELD_ROWS = 100_000
+SEEN = 500_000
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
@@ -33,14 +34,16 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            first, rows = FirstOfBatch(), []
+            seen, rows = set(), []
             for doc, row, text in in_order(batch):
                 lines = text.encode().split(b"\n")
                 filled = [bool(x.split()) for x in lines]
                 for i in range(len(lines) - window + 1):
                     if any(filled[i : i + window]):
                         h = xxhash.xxh3_128_digest(b"\n".join(lines[i : i + window]))
-                        rows.append((None if first.later(h, (doc, row, i), False) else h, doc, row, i))
+                        rows.append((None if h in seen else h, doc, row, i))
+                        if len(seen) < SEEN:
+                            seen.add(h)
                     if len(rows) >= HELD_ROWS:
                         yield made(rows)
                         rows = []

@@ -5,9 +5,9 @@ by what they share; a bucket sorts whole runs and then their windows by multikey
 comparing sorted strings, never from a hash. Results are ranges of tokens, (doc_id, row, a, b), and only texts that have some
 are shuffled. `row` is a hash of doc_id and text that tells rows of one doc_id apart.
 
-Skew: `first_of_batch` sends on one of several equal strings of a batch and settles the others at once, so a passage that a third of
-all rows hold reaches its bucket once a batch. A group of over GROUP_ROWS different runs (near copies) does not stay in one
-task: its windows go on as strings of their own and are sorted by Spark, which spills.
+Skew: a map task sorts what it holds as a bucket of its own before it gives it on, and settles all but the first of equal strings, so a
+passage that a third of all rows hold reaches its bucket once for each such sort. A group of over GROUP_ROWS different runs (near copies)
+does not stay in one task: its windows go on as strings of their own and are sorted by Spark, which spills.
 """
 
 from __future__ import annotations
@@ -102,28 +102,6 @@ def in_order(batch):
             yield int(doc[i]), int(row[i]), batch.column(2)[i].as_py()
 
 
-#: Bytes of strings among which a batch's equal ones are found.
-SEEN_BYTES = 32 << 20
-
-
-class FirstOfBatch:
-    """Tells equal strings of one task's batch that come later; strings must be shown in the order in which they count."""
-
-    def __init__(self):
-        self.seen, self.size = {}, 0
-
-    def later(self, part: bytes, at: tuple[int, int, int], by_doc: bool) -> bool:
-        """Whether a string equal to that at (doc_id, row, start) was shown before: of a smaller doc_id, if by_doc."""
-        first = self.seen.get(part)
-        if first is None:
-            if self.size > SEEN_BYTES:
-                self.seen, self.size = {}, 0
-            self.seen[part] = at
-            self.size += len(part)
-            return False
-        return first[0] < at[0] if by_doc else first < at
-
-
 def multikey(char, n: int, depth: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorts n strings by multikey quicksort: (order, seg), where positions of one seg hold strings equal in all characters.
 
@@ -236,6 +214,24 @@ def earliest(seg: np.ndarray, order: np.ndarray, doc: np.ndarray, row: np.ndarra
     return out
 
 
+def repeated(keys: list[np.ndarray], doc: np.ndarray, row: np.ndarray, start: np.ndarray, part, by_doc: bool) -> np.ndarray:
+    """Which of a task's strings equal an earlier one of them: sorted by their keys, and by part(i), their bytes, where these tie."""
+    order = np.lexsort(keys)
+    same = np.ones(len(order) - 1, bool)
+    for k in keys:
+        same &= k[order[1:]] == k[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    out = np.zeros(len(order), bool)
+    rows = order[tied]
+    if len(rows):
+        s = Strings([part(i) for i in rows.tolist()])
+        at, seg = multikey(s.whole, len(rows), 1 + -(-int(s.size.max()) // 8), np.cumsum(~np.append(False, same))[tied])
+        out[rows] = earliest(seg, at, doc[rows], row[rows], start[rows], by_doc)
+    return out
+
+
 class Bucket:
     """Compares runs that met in a bucket, each a packed string."""
 
@@ -330,24 +326,31 @@ def columns(t: pa.Table):
     return number("k1"), number("k2"), number("doc_id"), number("row"), number("a"), t.column("alone").to_numpy(), t.column("part").to_pylist()
 
 
+#: Runs whose windows are sorted at once before they go on.
+SOME_RUNS = 2000
+
+
 def windows_of(t: pa.Table, bucket: Bucket):
-    """The windows of t's runs as strings that go on; equal ones among them are settled here."""
+    """The windows of t's runs as strings that go on, sorted; equal ones that come next to each other are settled here."""
     _, _, doc, row, start, _, parts = columns(t)
-    first, ranges, rows = FirstOfBatch(), [], []
-    for i in np.lexsort((start, row, doc)).tolist():
-        for j, w in enumerate(bucket.tokens.cut(parts[i], bucket.window)):
-            at = (int(doc[i]), int(row[i]), int(start[i]) + j)
-            if first.later(w, at, bucket.by_doc):
-                ranges.append((*at, at[2] + bucket.window))
+    for lo in range(0, len(parts), SOME_RUNS):
+        rows = []
+        for i in range(lo, min(lo + SOME_RUNS, len(parts))):
+            rows += [(w, int(doc[i]), int(row[i]), int(start[i]) + j) for j, w in enumerate(bucket.tokens.cut(parts[i], bucket.window))]
+        rows.sort()
+        ranges, more, first = [], [], (None,)
+        for r in rows:
+            if r[0] != first[0]:
+                first = r
+                more.append(r)
+            elif first[1] < r[1] if bucket.by_doc else first < r:
+                ranges.append(r)
             else:
-                rows.append((*at, at[2] + bucket.window, w))
-        if len(rows) >= 20_000:
-            yield found(*zip(*rows, strict=True))
-            rows = []
-    if rows:
-        yield found(*zip(*rows, strict=True))
-    if ranges:
-        yield found(*zip(*ranges, strict=True))
+                more.append(r)
+        for some, part in ((ranges, False), (more, True)):
+            if some:
+                w, d, r, at = zip(*some, strict=True)
+                yield found(d, r, at, [x + bucket.window for x in at], w if part else None)
 
 
 def in_buckets(dealt: DataFrame, bucket: Bucket, edges: bool = False) -> DataFrame:

@@ -19,21 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import parts, small_batches, table, word_cache, word_hashes
-from hearthline.llm.repeats import FirstOfBatch, Bucket, Powers, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, sha, single_windows, touched, with_results
+from hearthline.llm.repeats import Bucket, Powers, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 WINDOW = 50
 GRAM = 8
-#: Bytes of packed strings that a task holds before it gives them on.
-HELD_BYTES = 8 << 20
+#: Bytes of packed strings that a task holds and sorts before it gives them on.
+HELD_BYTES = 24 << 20
 
 
 def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Packed runs (k1: minimiser, doc_id, row, a: first word, b: end of the last window, part); those settled in their batch have no part."""
+    """Packed runs (k1: minimiser, doc_id, row, a: first word, b: end of the last window, part); those that equal an earlier one of their sort have no part."""
 
     def find(batches):
         cache, powers = word_cache(), Powers()
         for batch in batches:
-            first, rows, size = FirstOfBatch(), [], 0
+            rows, size = [], 0
             for doc, row, text in in_order(batch):
                 words = text.encode().split()
                 if len(words) < window:
@@ -43,13 +43,9 @@ def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 for at, mini, start, n, _ in piecewise(len(words), lambda a, b, words=words: word_hashes(words[a:b], cache), window, gram, powers):
                     a, b = start + at, start + at + n + window - 1
                     lo, hi = np.where(a > 0, ends[a - 1], 0), ends[b - 1] - 1
-                    for k, a, b, lo, hi in zip(mini.view(np.int64).tolist(), a.tolist(), b.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                        part = joined[lo:hi]
-                        if first.later(part, (doc, row, a), True):
-                            part = None
-                        else:
-                            size += hi - lo
-                        rows.append((k, doc, row, a, b, part))
+                    parts = [joined[lo:hi] for lo, hi in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    rows.append((mini.view(np.int64), np.full(len(n), doc), np.full(len(n), row), a, b, parts))
+                    size += int((hi - lo).sum())
                     if size > HELD_BYTES:
                         yield packed(rows)
                         rows, size = [], 0
@@ -57,7 +53,11 @@ def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 yield packed(rows)
 
     def packed(rows):
-        k, doc, row, a, b, part = zip(*rows, strict=True)
+        k, doc, row, a, b = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        part = [p for r in rows for p in r[5]]
+        settled = repeated([k], doc, row, a, part.__getitem__, True)
+        for i in np.flatnonzero(settled).tolist():
+            part[i] = None
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k, doc, row)), *(pa.array(x, pa.int32()) for x in (a, b)), pa.array(part, pa.binary())], names=["k1", "doc_id", "row", "a", "b", "part"])
 
     small_batches(docs.sparkSession)

@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import maybe_in, parts, small_batches, table
-from hearthline.llm.repeats import Bucket, Bytes, FirstOfBatch, Powers, groups, in_buckets, in_order, merged, numbered, piecewise, ranges_of, sha, single_windows, touched, with_results
+from hearthline.llm.repeats import Bucket, Bytes, Powers, groups, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 LENGTH = 100
 GRAM = 20
 #: Documents and tied runs that are sampled for splitters, about. Only the balance of partitions depends on them.
 SAMPLE = 4000
 RUN_SAMPLE = 200_000
-#: Rows that a task holds before it gives them on.
-HELD_ROWS = 100_000
+#: Rows that a task holds and sorts before it gives them on.
+HELD_ROWS = 200_000
 
 _BYTES = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGN = np.uint64(1 << 63)
@@ -51,14 +51,14 @@ def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def anchored(docs: DataFrame, length: int, gram: int, splitters: list[int] | None = None) -> DataFrame:
     """Runs of suffixes: range, k1 and k2 (leading bytes at the anchor), doc_id, row, a, b (end of the last string), alone.
 
-    `alone` tells that the run's strings may repeat within it, as its anchor's gram occurs in it twice. Runs that equal an
-    earlier one of their batch, byte by byte, are settled: they have no k2.
+    `alone` tells that the run's strings may repeat within it, as its anchor's gram occurs in it twice. A task sorts
+    what it holds by leading bytes, then by all bytes; runs that equal an earlier one of the sort are settled and have no k2.
     """
 
     def find(batches):
         powers = Powers()
         for batch in batches:
-            first, out, size = FirstOfBatch(), [], 0
+            out, texts, size = [], [], 0
             for doc, row, text in in_order(batch):
                 raw = text.encode()
                 data = np.frombuffer(raw, np.uint8)
@@ -70,17 +70,18 @@ def anchored(docs: DataFrame, length: int, gram: int, splitters: list[int] | Non
                     start = at + start
                     end = start + n + length - 1
                     k1, k2 = leading(data, anchor), leading(data, anchor + 8)
-                    settled = np.array([first.later(raw[a:b], (doc, row, a), False) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-                    out.append((k1, k2, np.full(len(n), doc), np.full(len(n), row), start, end, here.sum(axis=1) > 1, settled))
+                    out.append((k1, k2, np.full(len(n), doc), np.full(len(n), row), start, end, here.sum(axis=1) > 1, np.full(len(n), len(texts))))
+                    texts.append(raw)
                     size += len(n)
                     if size > HELD_ROWS:
-                        yield rows(out)
-                        out, size = [], 0
+                        yield rows(out, texts)
+                        out, texts, size = [], [], 0
             if out:
-                yield rows(out)
+                yield rows(out, texts)
 
-    def rows(out):
-        k1, k2, doc, row, a, b, alone, settled = (np.concatenate(x) for x in zip(*out, strict=True))
+    def rows(out, texts):
+        k1, k2, doc, row, a, b, alone, of = (np.concatenate(x) for x in zip(*out, strict=True))
+        settled = repeated([k1, k2], doc, row, a, lambda i: texts[of[i]][a[i] : b[i]], False)
         which = np.searchsorted(np.array(splitters or [], np.int64), k1, "right")
         columns = [pa.array(which, pa.int32()), pa.array(k1), pa.array(k2, mask=settled), pa.array(doc), pa.array(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(alone)]
         return pa.RecordBatch.from_arrays(columns, names=["range", "k1", "k2", "doc_id", "row", "a", "b", "alone"])
