@@ -37,13 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release() -> None:
+    """Deletes all intermediate tables. Results that have not been written by then can't be read any more."""
+    while _written:
+        drop(*_written.pop())
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop(spark, path)
-        except Exception:  # noqa: BLE001 - the session has ended
-            return
+    try:
+        release()
+    except Exception:  # noqa: BLE001 - the session has ended
+        return
 
 
 def drop(spark: SparkSession, path: str) -> None:
