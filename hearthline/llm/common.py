@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder tables, word hashing, a size-bounded membership filter."""
+"""Shared pieces: shared-folder tables, hashes from prefix sums, a size-bounded membership filter."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the membership filter that `maybe_in` broadcasts: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
-#: Word hashes and encodings that one Python worker keeps before it starts over, and the longest key that it keeps.
+#: Encodings that one Python worker keeps before it starts over, and the longest key that it keeps.
 CACHE_WORDS = 200_000
 CACHE_KEY = 64
 #: Most bytes of rows that a Python worker gets at once.
@@ -105,14 +105,6 @@ class Cached(dict):
             self.put(k, v)
 
 
-def word_hashes(words: list[bytes], cache: Cached) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
-def word_cache() -> Cached:
-    return Cached(lambda w: xxhash.xxh3_64_intdigest(w))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words in which each input bit reaches each output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -123,6 +115,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_C = 0x9E3779B97F4A7C15
+_CINV = pow(_C, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of the hash multiplier and of its inverse, modulo 2**64."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(2 * len(self.up), n, 4096)
+            up, down = np.full(size, _C, np.uint64), np.full(size, _CINV, np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return self.up[:n], self.down[:n]
+
+
+def prefix_sums(t: np.ndarray, powers: Powers) -> np.ndarray:
+    out = np.zeros(len(t) + 1, np.uint64)
+    np.cumsum(t * powers.get(len(t))[0], out=out[1:])
+    return out
+
+
+#: A random odd number for each byte, and which bytes are white space.
+BYTES = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Bytes that are hashed at once, so that what a very long text or word takes is bounded.
+SOME_BYTES = 4 << 20
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes start and end: what bytes.split() would give."""
+    outside = np.ones(len(data) + 2, bool)
+    outside[1:-1] = _SPACE[data]
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """64-bit hashes of the words that lie at these places, from prefix sums over the bytes: no word is looked at by itself."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + SOME_BYTES, "right"))
+        if j <= i:  # one word of more than that
+            out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+            i += 1
+            continue
+        a, b = start[i:j], end[i:j]
+        sums = prefix_sums(BYTES[data[a[0] : b[-1]]], powers)
+        out[i:j] = mix((sums[b - a[0]] - sums[a - a[0]]) * powers.get(len(sums))[1][a - a[0]] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
 def fresh(names: list[str], *wanted: str) -> list[str]:
     """The wanted names, with underscores before those that a column has already (names differ in more than case)."""
     taken, out = {n.lower() for n in names}, []

@@ -20,32 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import maybe_in, mix, row_hash, table
-
-_C = 0x9E3779B97F4A7C15
-_CINV = pow(_C, -1, 1 << 64)
-
-
-class Powers:
-    """Powers of the hash multiplier and of its inverse, modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(2 * len(self.up), n, 4096)
-            up, down = np.full(size, _C, np.uint64), np.full(size, _CINV, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up[:n], self.down[:n]
-
-
-def prefix_sums(t: np.ndarray, powers: Powers) -> np.ndarray:
-    out = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(t * powers.get(len(t))[0], out=out[1:])
-    return out
-
+from hearthline.llm.common import Powers, maybe_in, mix, prefix_sums, row_hash, table
 
 def window_hashes(sums: np.ndarray, length: int, powers: Powers) -> np.ndarray:
     """Hash of each window of `length` tokens, from prefix sums."""
@@ -113,16 +88,26 @@ def multikey(char, n: int, depth: int, part: np.ndarray | None = None) -> tuple[
     for c in range(-1 if part is not None else 0, depth):
         if not len(at):
             break
-        rows = order[at]
-        x, s = part[rows] if c < 0 else char(rows, c), seg[at]
+        x, s = part[order[at]] if c < 0 else char(order[at], c), seg[at]
+        apart = s[1:] != s[:-1]
+        unlike = (x[1:] != x[:-1]) & ~apart
+        if not unlike.any():
+            continue  # each segment has one character here
+        which = np.cumsum(np.append(False, apart))
+        split = np.zeros(which[-1] + 1, bool)
+        split[which[1:][unlike]] = True
+        split = split[which]
+        own, x, s = at[split], x[split], s[split]
         k = np.lexsort((x, s)) if s[0] != s[-1] else np.argsort(x, kind="stable")
-        x, order[at] = x[k], rows[k]
-        new = np.ones(len(at), bool)
+        x, order[own] = x[k], order[own][k]
+        new = np.ones(len(own), bool)
         new[1:] = (x[1:] != x[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(at)))
-        seg[at] = at[first].repeat(size)
-        at = at[(size > 1).repeat(size)]
+        size = np.diff(np.append(first, len(own)))
+        seg[own] = own[first].repeat(size)
+        still = np.ones(len(at), bool)
+        still[split] = (size > 1).repeat(size)
+        at = at[still]
     return order, seg
 
 
@@ -200,17 +185,21 @@ class Words:
 
 def earliest(seg: np.ndarray, order: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, by_doc: bool) -> np.ndarray:
     """Which of the sorted strings have an equal one that counts earlier: in a smaller doc_id, if by_doc."""
+    out = np.zeros(len(seg), bool)
+    tied = np.zeros(len(seg), bool)
+    tied[1:] = seg[1:] == seg[:-1]
+    tied[:-1] |= tied[1:]
+    seg, order = seg[tied], order[tied]
+    k = np.lexsort((start[order], row[order], doc[order], seg))
+    seg, order = seg[k], order[k]
     doc, row, start = doc[order], row[order], start[order]
-    k = np.lexsort((start, row, doc, seg))
-    seg, doc, row, start = seg[k], doc[k], row[k], start[k]
     new = np.ones(len(seg), bool)
     new[1:] = seg[1:] != seg[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = doc[first] < doc
     if not by_doc:
         later |= (doc[first] == doc) & ((row[first] < row) | ((row[first] == row) & (start[first] < start)))
-    out = np.zeros(len(seg), bool)
-    out[order[k]] = later
+    out[order] = later
     return out
 
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import parts, small_batches, table, word_cache, word_hashes
-from hearthline.llm.repeats import Bucket, Powers, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
+from hearthline.llm.common import Powers, parts, small_batches, table, word_hashes, word_spans
+from hearthline.llm.repeats import Bucket, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 WINDOW = 50
 GRAM = 8
@@ -31,18 +31,17 @@ def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Packed runs (k1: minimiser, doc_id, row, a: first word, b: end of the last window, part); those that equal an earlier one of their sort have no part."""
 
     def find(batches):
-        cache, powers = word_cache(), Powers()
+        powers = Powers()
         for batch in batches:
             rows, size = [], 0
             for doc, row, text in in_order(batch):
-                words = text.encode().split()
-                if len(words) < window:
-                    continue
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                for at, mini, start, n, _ in piecewise(len(words), lambda a, b, words=words: word_hashes(words[a:b], cache), window, gram, powers):
+                joined = b" ".join(text.encode().split())
+                data = np.frombuffer(joined, np.uint8)
+                begin, end = word_spans(data)
+                hashes = lambda a, b, data=data, begin=begin, end=end: word_hashes(data, begin[a:b], end[a:b], powers)
+                for at, mini, start, n, _ in piecewise(len(begin), hashes, window, gram, powers):
                     a, b = start + at, start + at + n + window - 1
-                    lo, hi = np.where(a > 0, ends[a - 1], 0), ends[b - 1] - 1
+                    lo, hi = begin[a], end[b - 1]
                     parts = [joined[lo:hi] for lo, hi in zip(lo.tolist(), hi.tolist(), strict=True)]
                     rows.append((mini.view(np.int64), np.full(len(n), doc), np.full(len(n), row), a, b, parts))
                     size += int((hi - lo).sum())

@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import maybe_in, parts, small_batches, table
-from hearthline.llm.repeats import Bucket, Bytes, Powers, groups, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
+from hearthline.llm.common import BYTES, Powers, maybe_in, parts, small_batches, table
+from hearthline.llm.repeats import Bucket, Bytes, groups, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 LENGTH = 100
 GRAM = 20
@@ -39,7 +39,6 @@ RUN_SAMPLE = 200_000
 #: Rows that a task holds and sorts before it gives them on.
 HELD_ROWS = 200_000
 
-_BYTES = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGN = np.uint64(1 << 63)
 
 
@@ -62,7 +61,7 @@ def anchored(docs: DataFrame, length: int, gram: int, splitters: list[int] | Non
             for doc, row, text in in_order(batch):
                 raw = text.encode()
                 data = np.frombuffer(raw, np.uint8)
-                for at, mini, start, n, grams in piecewise(len(data), lambda a, b, data=data: _BYTES[data[a:b]], length, gram, powers):
+                for at, mini, start, n, grams in piecewise(len(data), lambda a, b, data=data: BYTES[data[a:b]], length, gram, powers):
                     span = np.arange(length - gram + int(n.max()))
                     here = grams[np.minimum(start[:, None] + span, len(grams) - 1)] == mini[:, None]
                     here &= span < (n + length - gram)[:, None]
