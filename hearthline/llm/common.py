@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ CACHE_KEY = 64
 BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+#: Tables of the innermost `finished` that is at work.
+_own: ContextVar[list | None] = ContextVar("own", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,9 +75,39 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if (own := _own.get()) is not None:
+        own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a table; the tables that it made on its way are deleted."""
+    own: list[tuple[SparkSession, str]] = []
+    token = _own.set(own)
+    try:
+        df = make()
+    finally:
+        _own.reset(token)
+    out = table(df)
+    for made in own:
+        _written.remove(made)
+        drop(*made)
+    return out
+
+
+def lean(f):
+    """f, a function from batches to batches, which gives unused memory back when it ends: the worker stays, idle or for other stages."""
+
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

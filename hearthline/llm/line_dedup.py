@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import small_batches, table
+from hearthline.llm.common import lean, small_batches, table
 from hearthline.llm.repeats import in_order, merged, numbered, sha, touched, with_results
 
 WINDOW = 3
@@ -56,7 +56,7 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(h[:, i].copy(), mask=none) for i in (0, 1)), *numbers, pa.array([r[3] for r in rows], pa.int32())], names=["h1", "h2", "doc_id", "row", "start"])
 
     small_batches(docs.sparkSession)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "h1 long, h2 long, doc_id long, row long, start int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(lean(find), "h1 long, h2 long, doc_id long, row long, start int")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -85,7 +85,7 @@ def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             texts = ["\n".join(x) for x, _ in done]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "text": texts, "n_words": [len(t.encode().split()) for t in texts], "n_removed": [n for _, n in done]})
 
-    return touched(docs, removals(docs, window)).mapInPandas(cut, "doc_id long, row long, text string, n_words long, n_removed long")
+    return touched(docs, lambda: removals(docs, window)).mapInPandas(lean(cut), "doc_id long, row long, text string, n_words long, n_removed long")
 
 
 def digest(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -99,7 +99,7 @@ def digest(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     every = docs.select("doc_id", "row", lines.cast("long").alias("n_lines"), F.sha2("text", 256).alias("whole"))
-    some = touched(docs, removals(docs, window)).mapInPandas(cut, "doc_id long, row long, n_removed long, kept string")
+    some = touched(docs, lambda: removals(docs, window)).mapInPandas(lean(cut), "doc_id long, row long, n_removed long, kept string")
     return with_results(every, some).select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 

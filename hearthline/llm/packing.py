@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Cached, table
+from hearthline.llm.common import Cached, Powers, lean, table, word_hashes, word_spans
 
 WINDOW = 2048
 END = 1
@@ -32,13 +32,14 @@ END = 1
 BUCKET_ROWS = 1 << 18
 
 
-#: Texts whose new words are gathered, and words that one call encodes.
-SOME_TEXTS, SOME_WORDS = 200, 200
+#: Bytes of texts whose new words are gathered, and words that one call encodes.
+SOME_BYTES, SOME_WORDS = 1 << 20, 200
 #: Stands between words in a call.
 MARK = "~"
-#: Words whose ids a Python worker keeps, in each of two generations: about 100 MB.
-KEPT_WORDS = 400_000
-KEPT_PARTS = 400_000
+#: Parts of words whose ids a Python worker keeps in each of two generations, and words and ids of words in all (70 MB).
+KEPT_PARTS = 100_000
+KEPT_WORDS = 1_000_000
+KEPT_IDS = 10_000_000
 #: How the tokenizer normalises and splits. Where it is just this, words of plain letters and marks
 #: are split here, so that their parts are encoded once; all other words go to the tokenizer whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -50,7 +51,7 @@ _kept: dict[int, tuple] = {}
 
 
 def word_encoder(tok):
-    """(cache of one word's ids, function for many words).
+    """(cache of the ids of words and parts, function for many words).
 
     Many words go through one call with a mark between them, as a call costs more than a word. The mark is used only if it
     is one id that stands apart between white space; words that hold it are encoded alone.
@@ -87,27 +88,99 @@ def word_encoder(tok):
     state = json.loads(tok.to_str())
     split = (state.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     known = (split[0].get("pattern") or {}).get("Regex") == PATTERN and [n["type"] for n in (state.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
-    parts = Cached(alone, KEPT_PARTS)
+    ids = Cached(alone, KEPT_PARTS)
 
     def many(words):
         if not known:
             return marked(words)
-        cut = [PARTS.findall(w.decode().lower()) if SIMPLE.fullmatch(w.decode()) else None for w in words]
-        parts.fill({p.encode() for c in cut if c for p in c}, marked)
+        cut = [[p.encode() for p in PARTS.findall(w.decode().lower())] if SIMPLE.fullmatch(w.decode()) else None for w in words]
+        ids.fill({p for c in cut if c for p in c}, marked)
         rest = iter(marked([w for w, c in zip(words, cut, strict=True) if c is None]))
-        return [b"".join([parts[p.encode()] for p in c]) if c else next(rest) for c in cut]
-
-    return Cached(alone, KEPT_WORDS), many
-
-
-def word_ids(shared):
-    """What encodes a word, kept over the tasks of a Python worker: a cache, and a function for many words."""
+        return [b"".join(map(ids.__getitem__, c)) if c else next(rest) for c in cut]
+
+    return ids, many
+
+
+class WordIds:
+    """Ids of words in arrays, by 64-bit hashes of the words; starts over when full."""
+
+    def __init__(self, many):
+        self.many, self.powers = many, Powers()
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.key, h)
+        return i, self.key[np.minimum(i, len(self.key) - 1)] == h if len(self.key) else np.zeros(len(h), bool)
+
+    def add(self, h: np.ndarray, encoded: list[bytes]) -> None:
+        """h is sorted and new."""
+        more = np.frombuffer(b"".join(encoded), "<u4")
+        if self.used + len(more) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(more) + self.used // 4 + (1 << 16), "<u4")))
+        self.pool[self.used : self.used + len(more)] = more
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        i = np.searchsorted(self.key, h)
+        self.key, self.size = np.insert(self.key, i, h), np.insert(self.size, i, size)
+        self.at = np.insert(self.at, i, self.used + np.cumsum(size) - size)
+        self.used += len(more)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        joined = b"\n".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        start, end = word_spans(data)
+        h = word_hashes(data, start, end, self.powers)
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.key) > KEPT_WORDS or self.used > KEPT_IDS:
+            self.clear()
+        new = np.flatnonzero(~self.places(own)[1])
+        if len(new):
+            self.add(own[new], self.many([joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]))
+        at = self.places(own)[0][back]
+        size = self.size[at] if len(at) else np.zeros(0, np.int64)
+        upto = np.cumsum(size)
+        ids = self.pool[np.repeat((self.at[at] if len(at) else size) - upto + size, size) + np.arange(int(size.sum()))]
+        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        words = np.searchsorted(start, np.cumsum(length))  # words up to each text's end
+        cuts = np.concatenate(([0], upto))[words]
+        return [ids[a:b].tobytes() for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True)]
+
+
+def units(texts, most: int):
+    """Lists of (number of the text, bytes of it) of about `most` bytes together; long texts are cut at white space."""
+    some, size = [], 0
+    for i, text in enumerate(texts):
+        raw, at = text.encode(), 0
+        while True:
+            cut = _BREAK.search(raw, at + most) if len(raw) - at > most else None
+            to = cut.start() if cut else len(raw)
+            some.append((i, raw[at:to]))
+            size += to - at
+            if size >= most:
+                yield some
+                some, size = [], 0
+            at = to
+            if not cut:
+                break
+    if some:
+        yield some
+
+
+_BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def word_ids(shared) -> WordIds:
+    """What encodes words, kept over the tasks of a Python worker."""
     key = hash(shared.value)
     if key not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _kept[key] = word_encoder(Tokenizer.from_buffer(shared.value))
+        _kept[key] = WordIds(word_encoder(Tokenizer.from_buffer(shared.value))[1])
     return _kept[key]
 
 
@@ -115,30 +188,30 @@ def tokenised(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens.
 
     Words between ASCII white space are encoded apart, which is what the tokenizer itself does: it
-    normalises, splits and merges without looking across white space.
+    normalises, splits and merges without looking across white space. Words that came before are known by 64-bit hashes.
     """
     with open(tokenizer, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        ids, many = word_ids(shared)
+        ids = word_ids(shared)
         last = np.array([end], "<u4").tobytes()
         for pdf in batches:
+            data: list[list[bytes]] = [[] for _ in range(len(pdf))]
+            for some in units(pdf["text"], SOME_BYTES):
+                for (i, _), part in zip(some, ids.encode([raw for _, raw in some]), strict=True):
+                    data[i].append(part)
             rows = []
-            for at in range(0, len(pdf), SOME_TEXTS):
-                some = pdf.iloc[at : at + SOME_TEXTS]
-                words = [text.encode().split() for text in some["text"]]
-                ids.fill(set().union(*words), many)
-                for doc_id, own in zip(some["doc_id"], words, strict=True):
-                    data = b"".join((*map(ids.__getitem__, own), last))
-                    n = len(data) // 4
-                    rows += [(doc_id, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
+            for doc_id, parts in zip(pdf["doc_id"], data, strict=True):
+                whole = b"".join((*parts, last))
+                n = len(whole) // 4
+                rows += [(doc_id, a, min(window, n - a), zlib.crc32(whole[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts.mapInPandas(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fill(left: dict[int, int], room: int) -> dict[int, int]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Powers, maybe_in, mix, prefix_sums, row_hash, table
+from hearthline.llm.common import Powers, finished, lean, maybe_in, mix, prefix_sums, row_hash
 
 def window_hashes(sums: np.ndarray, length: int, powers: Powers) -> np.ndarray:
     """Hash of each window of `length` tokens, from prefix sums."""
@@ -388,7 +388,7 @@ def in_buckets(dealt: DataFrame, bucket: Bucket, edges: bool = False) -> DataFra
             yield from windows_of(last, bucket)
         yield from flush()
 
-    return dealt.select("k1", "k2", "doc_id", "row", "a", "b", "alone", "part").mapInArrow(run, FOUND)
+    return dealt.select("k1", "k2", "doc_id", "row", "a", "b", "alone", "part").mapInArrow(lean(run), FOUND)
 
 
 def ranges_of(out: DataFrame) -> DataFrame:
@@ -411,7 +411,7 @@ def single_windows(out: DataFrame, by_doc: bool, n: int) -> DataFrame:
                     rows.append((doc, row, a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "row", "a", "b"])
 
-    return dealt.mapInArrow(run, "doc_id long, row long, a long, b long")
+    return dealt.mapInArrow(lean(run), "doc_id long, row long, a long, b long")
 
 
 def collected(ranges: DataFrame) -> DataFrame:
@@ -430,9 +430,9 @@ def merged(packed, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def touched(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Texts of the rows that have ranges, with them: (doc_id, row, text, ranges); of equal rows one."""
-    some = table(collected(ranges))
+def touched(docs: DataFrame, ranges) -> DataFrame:
+    """Texts of the rows for which ranges() gives any, with them: (doc_id, row, text, ranges); of equal rows one."""
+    some = finished(lambda: collected(ranges()))
     texts = maybe_in(docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), some, "row")
     return texts.join(some, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Cached, small_batches
+from hearthline.llm.common import Cached, lean, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -161,7 +161,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
                 some = pdf.iloc[i : i + 1000]
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [c.encode(t) for t in some["text"]]})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -176,7 +176,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 some = pdf.iloc[i : i + 1000]
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": some["ids"], "decoded": [c.decode(x) for x in some["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInPandas(lean(run), "doc_id long, ids binary, decoded binary")
 
 
 def digest(documents: DataFrame, model: str) -> DataFrame:
@@ -197,4 +197,4 @@ def digest(documents: DataFrame, model: str) -> DataFrame:
             yield out
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts.mapInPandas(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Powers, parts, small_batches, table, word_hashes, word_spans
+from hearthline.llm.common import Powers, lean, parts, small_batches, table, word_hashes, word_spans
 from hearthline.llm.repeats import Bucket, Words, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 WINDOW = 50
@@ -60,7 +60,7 @@ def super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k, doc, row)), *(pa.array(x, pa.int32()) for x in (a, b)), pa.array(part, pa.binary())], names=["k1", "doc_id", "row", "a", "b", "part"])
 
     small_batches(docs.sparkSession)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "k1 long, doc_id long, row long, a int, b int, part binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(lean(find), "k1 long, doc_id long, row long, a int, b int, part binary")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -91,7 +91,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
             done = [kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "text": [b" ".join(w).decode() for w, _ in done], "n_words": [len(w) for w, _ in done], "n_removed": [n for _, n in done]})
 
-    return touched(docs, removals(docs, window, gram)).mapInPandas(cut, "doc_id long, row long, text string, n_words long, n_removed long")
+    return touched(docs, lambda: removals(docs, window, gram)).mapInPandas(lean(cut), "doc_id long, row long, text string, n_words long, n_removed long")
 
 
 def digest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -108,6 +108,6 @@ def digest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             done = [(n, sha(b" ".join(w))) for w, n in (kept_words(t.encode().split(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True))]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_removed": [n for n, _ in done], "kept": [x for _, x in done]})
 
-    every = docs.mapInPandas(base, "doc_id long, row long, n_words long, whole string")
-    some = touched(docs, removals(docs, window, gram)).mapInPandas(cut, "doc_id long, row long, n_removed long, kept string")
+    every = docs.mapInPandas(lean(base), "doc_id long, row long, n_words long, whole string")
+    some = touched(docs, lambda: removals(docs, window, gram)).mapInPandas(lean(cut), "doc_id long, row long, n_removed long, kept string")
     return with_results(every, some).select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))

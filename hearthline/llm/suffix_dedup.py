@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import BYTES, Powers, maybe_in, parts, small_batches, table
+from hearthline.llm.common import BYTES, Powers, lean, maybe_in, parts, small_batches, table
 from hearthline.llm.repeats import Bucket, Bytes, groups, in_buckets, in_order, merged, numbered, piecewise, ranges_of, repeated, sha, single_windows, touched, with_results
 
 LENGTH = 100
@@ -86,7 +86,7 @@ def anchored(docs: DataFrame, length: int, gram: int, splitters: list[int] | Non
         return pa.RecordBatch.from_arrays(columns, names=["range", "k1", "k2", "doc_id", "row", "a", "b", "alone"])
 
     small_batches(docs.sparkSession)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(find, "range int, k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(lean(find), "range int, k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
 
 
 def sampled_splitters(docs: DataFrame, length: int, gram: int, ranges: int) -> list[int]:
@@ -129,7 +129,7 @@ def tied(dealt: DataFrame) -> DataFrame:
             yield from t.select(names).to_batches()
         yield from flush()
 
-    return dealt.mapInArrow(run, "k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
+    return dealt.mapInArrow(lean(run), "k1 long, k2 long, doc_id long, row long, a int, b int, alone boolean")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -159,7 +159,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def frame(rows):
         return pd.DataFrame(rows, columns=["range", "k1", "k2", "doc_id", "row", "a", "b", "alone", "part"])
 
-    sent = texts.mapInPandas(packed, "range int, k1 long, k2 long, doc_id long, row long, a long, b long, alone boolean, part binary")
+    sent = texts.mapInPandas(lean(packed), "range int, k1 long, k2 long, doc_id long, row long, a long, b long, alone boolean, part binary")
     buckets = sent.repartitionById(n, "range").sortWithinPartitions("k1", "k2")
     out = table(in_buckets(buckets, Bucket(Bytes, length, False), edges=True))
     settled = left.where("k2 IS NULL").select("doc_id", "row", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
@@ -181,7 +181,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
             done = [kept_bytes(t.encode(), r) for t, r in zip(pdf["text"], pdf["ranges"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "kept": [x[0] for x in done], "n_removed": [x[1] for x in done], "n_spans": [x[2] for x in done]})
 
-    return touched(docs, removals(docs, length, gram)).mapInPandas(cut, "doc_id long, row long, kept binary, n_removed long, n_spans long")
+    return touched(docs, lambda: removals(docs, length, gram)).mapInPandas(lean(cut), "doc_id long, row long, kept binary, n_removed long, n_spans long")
 
 
 def digest(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -194,6 +194,6 @@ def digest(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_removed": [x[0] for x in done], "n_spans": [x[1] for x in done], "kept": [x[2] for x in done]})
 
     every = docs.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    some = touched(docs, removals(docs, length, gram)).mapInPandas(cut, "doc_id long, row long, n_removed long, n_spans long, kept string")
+    some = touched(docs, lambda: removals(docs, length, gram)).mapInPandas(lean(cut), "doc_id long, row long, n_removed long, n_spans long, kept string")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return with_results(every, some).select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))

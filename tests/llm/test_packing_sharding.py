@@ -116,3 +116,21 @@ def test_words_encode_as_texts():
     want = [packing.np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
     assert many(words) == want and [ids[w] for w in words] == want and many([]) == []
     ids.fill(set(words), many)
+
+
+def test_words_in_arrays_give_the_ids_of_texts(monkeypatch):
+    """Also where the store starts over and texts are cut in small units."""
+    from hearthline.llm.packing import WordIds, units, word_encoder
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    some = texts(60, 11) + ["", " \n", "~", "x" * 300, None and ""]
+    some = [t for t in some if t is not None]
+    want = [b"".join(int(i).to_bytes(4, "little") for i in tok.encode(t, add_special_tokens=False).ids) for t in some]
+    for kept, most in ((1_000_000, 1 << 20), (5, 40), (0, 1)):
+        monkeypatch.setattr(packing, "KEPT_WORDS", kept)
+        ids = WordIds(word_encoder(tok)[1])
+        got = [b""] * len(some)
+        for unit in units(some, most):
+            for (i, _), part in zip(unit, ids.encode([raw for _, raw in unit]), strict=True):
+                got[i] += part
+        assert got == want
