@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -100,7 +99,6 @@ def lean(f):
 
     def run(batches):
         yield from f(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
