@@ -9,7 +9,7 @@ within their length, which is a row number in a hash bucket plus the bucket's of
 
 Defined cases: null and empty texts are one piece, the end id alone; an empty table gives no rows; a very long text is cut in as many pieces as it takes; a very
 long word, as in texts without spaces, is encoded each time and not kept; equal rows are packed once each; rows without doc_id are packed like others; lengths that
-tie are told apart by a hash; further columns, of any name, are not read.
+tie are told apart by a hash; words whose hashes agree are compared by their bytes and get each its own ids; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Cached, Powers, lean, table, word_hashes, word_spans
+from hearthline.llm.common import Cached, lean, table
+from hearthline.llm.words import WordIds, units
 
 WINDOW = 2048
 END = 1
@@ -36,10 +37,8 @@ BUCKET_ROWS = 1 << 18
 SOME_BYTES, SOME_WORDS = 1 << 20, 200
 #: Stands between words in a call.
 MARK = "~"
-#: Parts of words whose ids a Python worker keeps in each of two generations, and words and ids of words in all (70 MB).
+#: Parts of words whose ids a Python worker keeps in each of two generations.
 KEPT_PARTS = 100_000
-KEPT_WORDS = 1_000_000
-KEPT_IDS = 10_000_000
 #: How the tokenizer normalises and splits. Where it is just this, words of plain letters and marks
 #: are split here, so that their parts are encoded once; all other words go to the tokenizer whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -101,78 +100,6 @@ def word_encoder(tok):
     return ids, many
 
 
-class WordIds:
-    """Ids of words in arrays, by 64-bit hashes of the words; starts over when full."""
-
-    def __init__(self, many):
-        self.many, self.powers = many, Powers()
-        self.clear()
-
-    def clear(self) -> None:
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
-
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.key, h)
-        return i, self.key[np.minimum(i, len(self.key) - 1)] == h if len(self.key) else np.zeros(len(h), bool)
-
-    def add(self, h: np.ndarray, encoded: list[bytes]) -> None:
-        """h is sorted and new."""
-        more = np.frombuffer(b"".join(encoded), "<u4")
-        if self.used + len(more) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(more) + self.used // 4 + (1 << 16), "<u4")))
-        self.pool[self.used : self.used + len(more)] = more
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        i = np.searchsorted(self.key, h)
-        self.key, self.size = np.insert(self.key, i, h), np.insert(self.size, i, size)
-        self.at = np.insert(self.at, i, self.used + np.cumsum(size) - size)
-        self.used += len(more)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        joined = b"\n".join(texts)
-        data = np.frombuffer(joined, np.uint8)
-        start, end = word_spans(data)
-        h = word_hashes(data, start, end, self.powers)
-        own, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.key) > KEPT_WORDS or self.used > KEPT_IDS:
-            self.clear()
-        new = np.flatnonzero(~self.places(own)[1])
-        if len(new):
-            self.add(own[new], self.many([joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]))
-        at = self.places(own)[0][back]
-        size = self.size[at] if len(at) else np.zeros(0, np.int64)
-        upto = np.cumsum(size)
-        ids = self.pool[np.repeat((self.at[at] if len(at) else size) - upto + size, size) + np.arange(int(size.sum()))]
-        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        words = np.searchsorted(start, np.cumsum(length))  # words up to each text's end
-        cuts = np.concatenate(([0], upto))[words]
-        return [ids[a:b].tobytes() for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True)]
-
-
-def units(texts, most: int):
-    """Lists of (number of the text, bytes of it) of about `most` bytes together; long texts are cut at white space."""
-    some, size = [], 0
-    for i, text in enumerate(texts):
-        raw, at = text.encode(), 0
-        while True:
-            cut = _BREAK.search(raw, at + most) if len(raw) - at > most else None
-            to = cut.start() if cut else len(raw)
-            some.append((i, raw[at:to]))
-            size += to - at
-            if size >= most:
-                yield some
-                some, size = [], 0
-            at = to
-            if not cut:
-                break
-    if some:
-        yield some
-
-
-_BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
-
-
 def word_ids(shared) -> WordIds:
     """What encodes words, kept over the tasks of a Python worker."""
     key = hash(shared.value)
@@ -188,7 +115,7 @@ def tokenised(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens.
 
     Words between ASCII white space are encoded apart, which is what the tokenizer itself does: it
-    normalises, splits and merges without looking across white space. Words that came before are known by 64-bit hashes.
+    normalises, splits and merges without looking across white space. Words that came before are looked up in an exact table.
     """
     with open(tokenizer, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())

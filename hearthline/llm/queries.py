@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from hearthline.llm import chat, line_dedup, minhash, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
+from hearthline.llm import bpe_codec, chat, line_dedup, minhash, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
 from hearthline.llm.common import read
 
 #: The conversation that tries to break out of the template.
@@ -61,11 +61,15 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark, sf_dir):
+    return bpe_codec.digest(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_topk, op3_packing, op4_minhash, op5_quality_rules,
-        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup,
+        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup, op12_bpe,
     )
 }
 

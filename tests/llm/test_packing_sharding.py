@@ -120,6 +120,7 @@ def test_words_encode_as_texts():
 
 def test_words_in_arrays_give_the_ids_of_texts(monkeypatch):
     """Also where the store starts over and texts are cut in small units."""
+    from hearthline.llm import words
     from hearthline.llm.packing import WordIds, units, word_encoder
 
     tok = Tokenizer.from_file(TOKENIZER)
@@ -127,7 +128,7 @@ def test_words_in_arrays_give_the_ids_of_texts(monkeypatch):
     some = [t for t in some if t is not None]
     want = [b"".join(int(i).to_bytes(4, "little") for i in tok.encode(t, add_special_tokens=False).ids) for t in some]
     for kept, most in ((1_000_000, 1 << 20), (5, 40), (0, 1)):
-        monkeypatch.setattr(packing, "KEPT_WORDS", kept)
+        monkeypatch.setattr(words, "KEPT_WORDS", kept)
         ids = WordIds(word_encoder(tok)[1])
         got = [b""] * len(some)
         for unit in units(some, most):
