@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from hearthline.llm import bpe_codec, chat, line_dedup, minhash, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
+from hearthline.llm import bpe_codec, chat, line_dedup, minhash, negatives, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
 from hearthline.llm.common import read
 
 #: The conversation that tries to break out of the template.
@@ -65,13 +65,17 @@ def op12_bpe(spark, sf_dir):
     return bpe_codec.digest(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_topk, op3_packing, op4_minhash, op5_quality_rules,
-        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup, op12_bpe,
+        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup, op12_bpe, op13_hard_negatives,
     )
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_quality_rules": quality.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_quality_rules": quality.ORACLE, "op8_chat": chat.ORACLE, "op13_hard_negatives": negatives.ORACLE}
