@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from hearthline.llm import bpe_codec, chat, line_dedup, minhash, negatives, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
+from hearthline.llm import bpe_codec, chat, lexical, line_dedup, minhash, negatives, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, topk
 from hearthline.llm.common import read
 
 #: The conversation that tries to break out of the template.
@@ -61,6 +61,10 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tier")
+
+
 def op12_bpe(spark, sf_dir):
     return bpe_codec.digest(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -73,9 +77,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_topk, op3_packing, op4_minhash, op5_quality_rules,
-        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup, op12_bpe, op13_hard_negatives,
+        op6_sentencepiece, op7_sharding, op8_chat, op9_suffix_dedup, op10_substring_dedup, op11_lexical_search, op12_bpe, op13_hard_negatives,
     )
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_quality_rules": quality.ORACLE, "op8_chat": chat.ORACLE, "op13_hard_negatives": negatives.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_quality_rules": quality.ORACLE, "op8_chat": chat.ORACLE, "op11_lexical_search": lexical.ORACLE, "op13_hard_negatives": negatives.ORACLE}

@@ -128,6 +128,49 @@ class Words:
         return number
 
 
+class Vocabulary(Words):
+    """A fixed list of words, looked up; numbers are places in the list."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__()
+        joined = b"\n".join(words)
+        start, end = word_spans(np.frombuffer(joined, np.uint8))
+        place = {w: i for i, w in enumerate(words)}
+        if len(place) < len(words) or len(start) < len(words):
+            raise ValueError("words of a vocabulary differ, and none is empty or has white space")
+        self.numbers(joined, start, end)
+        self.place = np.array([place[w] for w in self.order], np.int64)
+
+    def added(self, words: list[bytes]) -> None:
+        self.order += words
+
+    def cleared(self) -> None:
+        self.order: list[bytes] = []
+
+    def find(self, joined: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each word in the list, -1 for words that are not there."""
+        out = np.full(len(start), -1, np.int64)
+        if not len(start) or not self.count:
+            return out
+        data = np.zeros(len(joined) + 8, np.uint8)
+        data[: len(joined)] = np.frombuffer(joined, np.uint8)
+        size = end - start
+        if len(self.key):
+            h = word_hashes(data, start, end, self.powers)
+            i = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+            some = np.flatnonzero(self.key[i] == h)
+            number = self.num[i[some]]
+            same = ~self._differs(data, start[some], size[some], number)
+            out[some[same]] = self.place[number[same]]
+        if self.odd:
+            fits = np.isin(size, [len(w) for w in self.odd]) & (out < 0)
+            for j in np.flatnonzero(fits).tolist():
+                n = self.odd.get(joined[start[j] : end[j]])
+                if n is not None:
+                    out[j] = self.place[n]
+        return out
+
+
 class WordIds(Words):
     """Token ids of words; `many` encodes a list of words."""
 
@@ -169,7 +212,7 @@ def units(texts, most: int):
     """Lists of (number of the text, bytes of it) of about `most` bytes together; long texts are cut at white space."""
     some, size = [], 0
     for i, text in enumerate(texts):
-        raw, at = text.encode(), 0
+        raw, at = text if isinstance(text, bytes) else text.encode(), 0
         while True:
             cut = _BREAK.search(raw, at + most) if len(raw) - at > most else None
             to = cut.start() if cut else len(raw)

@@ -34,6 +34,8 @@ def folder(tmp_path_factory):
     vecs[5], vecs[6], vecs[7], vecs[8] = None, [1.0, None] * 8, [math.nan] * 16, [math.inf] * 16
     vecs[20], vecs[21], vecs[300] = vecs[100], vecs[100], [0.5] * 8
     pq.write_table(pa.table({"vec_id": pa.array(range(700), pa.int64()), "embedding": pa.array(vecs, pa.list_(pa.float32())), "label": pa.array([1] * 700, pa.int32())}), d / "embeddings.parquet")
+    asked = [(i, line() + " " + line()) for i in range(20)] + [(30, None), (31, ""), (32, "one two -- nothing"), (33, shared[0])]
+    pq.write_table(pa.table({"item_id": pa.array([x[0] for x in asked], pa.int64()), "text": [x[1] for x in asked]}), d / "benchmark.parquet")
     conv = []
     for c in range(40):
         for k in range(r.randint(1, 9)):
@@ -48,7 +50,7 @@ def folder(tmp_path_factory):
 def test_query(spark, folder, name):
     df = queries.QUERIES[name](spark, folder)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     cur = con.execute(queries.ORACLES[name])
     names = [c[0] for c in cur.description]
