@@ -166,14 +166,20 @@ def compiled(recorded: DataFrame, extensions: tuple[str, ...] = ("c", "cpp")) ->
 
 
 def flow_edges(recorded: DataFrame) -> DataFrame:
-    """Edges between the files of a test case: (src, dst, type). Parts follow each other by letter; a value that is returned flows back."""
-    kind = F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv])
-    rows = recorded.where(F.col("part").isNotNull()).select("path", "cwe", "functional_variant", "flow", F.ascii("part").alias("at"))
-    case = ["cwe", "functional_variant", "flow"]
-    after = rows.select(*case, (F.col("at") - 1).alias("at"), F.col("path").alias("dst"))
-    pairs = rows.withColumnRenamed("path", "src").join(after, [*case, "at"]).withColumn("type", kind[F.col("flow")])
+    """Edges between the files of a test case: (src, dst, type, shape, missing). Parts follow each other by letter; a value that is returned flows back.
+
+    A part whose predecessor is not there (a never is, in the corpus) gets its edge from a marked node: the case's folder and name with the letter, and
+    `missing` says that it stands for no file. Flows that move data in objects (81 to 84) have no letters; `dispatch.object_edges` gives theirs.
+    """
+    named = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    rows = recorded.where(F.col("part").isNotNull()).select("path", "flow", F.ascii("part").alias("at"), F.regexp_extract("path", r"^(.*_\d\d)[b-e]", 1).alias("case"))
+    before = rows.select("case", (F.col("at") + 1).alias("at"), F.col("path").alias("from"))
+    pairs = rows.join(before, ["case", "at"], "left").select(
+        F.coalesce("from", F.concat("case", F.char(F.col("at") - 1))).alias("from"), F.col("path").alias("to"), named(EDGE_KINDS)[F.col("flow")].alias("type"),
+        named(FLOW_SHAPES)[F.col("flow")].alias("shape"), F.col("from").isNull().alias("missing"),
+    )
     back = F.col("type") == "return"
-    return pairs.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
+    return pairs.select(F.when(back, F.col("to")).otherwise(F.col("from")).alias("src"), F.when(back, F.col("from")).otherwise(F.col("to")).alias("dst"), "type", "shape", "missing")
 
 
 def duplicates(sources: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries by topic; importing this package registers them all."""
 
-from hearthline.plans import corpus, dialogues, evaluation, graphs, ledger, relational, sources, traces  # noqa: F401
+from hearthline.plans import corpus, dialogues, evaluation, graphs, ledger, objects, relational, sources, traces  # noqa: F401

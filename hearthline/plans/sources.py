@@ -1,6 +1,6 @@
 """The extractor on stand-in source files, one for each row of part.
 
-The stand-ins follow the grammar that the extractor reads: six files make a test case (two parts of a chain, two of another, a class with
+The stand-ins follow the grammar that the extractor reads: six files make a test case (two parts of a chain, the only parts of two others, a class with
 its header) or declare its tests.
 """
 
@@ -26,8 +26,8 @@ SELECT folder || '/' || name AS path,
   || CASE WHEN p_size % 2 = 0 THEN nl ELSE '' END END AS text
 FROM (SELECT *, stem || '_' || flow || letter || polarity || ext AS full_name, CASE WHEN kind = 5 THEN 'testcases.h' ELSE stem || '_' || flow || letter || polarity || ext END AS name
   FROM (SELECT *, 'CWE' || (100 + c % 50) || '_Weak__v' || c AS stem, '/t/CWE' || (100 + c % 50) || '_Weak/s0' || (c % 3) AS folder,
-      CASE kind WHEN 0 THEN '52' WHEN 1 THEN '52' WHEN 2 THEN '61' WHEN 3 THEN '61' ELSE '81' END AS flow,
-      CASE kind WHEN 0 THEN 'b' WHEN 1 THEN 'c' WHEN 2 THEN 'b' WHEN 3 THEN 'c' ELSE '' END AS letter, '' AS polarity, CASE kind WHEN 4 THEN '.h' WHEN 3 THEN '.cpp' ELSE '.c' END AS ext,
+      CASE kind WHEN 0 THEN '52' WHEN 1 THEN '52' WHEN 2 THEN '61' WHEN 3 THEN '63' ELSE '81' END AS flow,
+      CASE kind WHEN 0 THEN 'b' WHEN 1 THEN 'c' WHEN 2 THEN 'b' WHEN 3 THEN 'b' ELSE '' END AS letter, '' AS polarity, CASE kind WHEN 4 THEN '.h' WHEN 3 THEN '.cpp' ELSE '.c' END AS ext,
       CASE WHEN p_size % 3 = 0 THEN ' ' ELSE ' ' || lower(p_type) END AS source, chr(10) AS nl
     FROM (SELECT p_size, p_type, p_partkey % 6 AS kind, CAST(floor(p_partkey / 6) AS BIGINT) AS c FROM {part}) a) b) d"""
 
@@ -123,11 +123,13 @@ def source_chains(spark, d):
 
 @register(
     "flow_edges",
-    WITH + """SELECT CASE WHEN a.flow = '61' THEN b.path ELSE a.path END AS src, CASE WHEN a.flow = '61' THEN a.path ELSE b.path END AS dst, CASE WHEN a.flow = '61' THEN 'return' ELSE 'argument' END AS type
-    FROM f a JOIN f b ON a.cwe = b.cwe AND a.functional_variant = b.functional_variant AND a.flow = b.flow AND a.part = 'b' AND b.part = 'c'""",
+    WITH + r""", p AS (SELECT path, flow, part, regexp_extract(path, '^(.*_\d\d)[b-e]', 1) AS c FROM f WHERE part IS NOT NULL),
+    e AS (SELECT coalesce(q.path, p.c || chr(ascii(p.part) - 1)) AS a, p.path AS b, q.path IS NULL AS missing, p.flow FROM p LEFT JOIN p q ON q.c = p.c AND ascii(q.part) = ascii(p.part) - 1)
+    SELECT CASE flow WHEN '61' THEN b ELSE a END AS src, CASE flow WHEN '61' THEN a ELSE b END AS dst, CASE flow WHEN '52' THEN 'argument' WHEN '61' THEN 'return' ELSE 'pointer' END AS type,
+    CASE flow WHEN '52' THEN 'argument, 2 hops' WHEN '61' THEN 'return value' ELSE 'pointer to data' END AS shape, missing FROM e""",
 )
 def flow_edges(spark, d):
-    """Edges of dataflow between parts; returned values flow back."""
+    """Edges of dataflow between parts, from a marked node where a part is not there; returned values flow back."""
     return corpus.flow_edges(corpus.files(sources(spark, d)))
 
 

@@ -147,8 +147,11 @@ def test_regions_and_directories(sources, lined):
     bad_gone = {r.text for r in corpus.without_region(lined, "BAD").where("path LIKE '%52b.c'").collect()}
     assert not any("BAD" in t or "_badSink(int" in t for t in bad_gone) and any("goodG2BSink" in t for t in bad_gone)
     assert {(r.directory.rsplit("/", 1)[1], r.extensions, r.files) for r in corpus.compiled(corpus.files(sources)).collect()} == {("s01", "c,cpp", 5), ("CWE8_Hand_Written", "c", 1)}
-    edges = {(e.src.rsplit("/", 1)[1], e.dst.rsplit("/", 1)[1], e.type) for e in corpus.flow_edges(corpus.files(sources)).collect()}
-    assert edges == {("CWE9_Demo__int_52b.c", "CWE9_Demo__int_52c.c", "argument")}
+    edges = {(e.src.rsplit("/", 1)[1], e.dst.rsplit("/", 1)[1], e.type, e.missing) for e in corpus.flow_edges(corpus.files(sources)).collect()}
+    assert edges == {
+        ("CWE9_Demo__int_52b.c", "CWE9_Demo__int_52c.c", "argument", False), ("CWE9_Demo__int_52a", "CWE9_Demo__int_52b.c", "argument", True),
+        ("CWE9_Demo__int_53a", "CWE9_Demo__int_53b.c", "argument", True), ("CWE9_Demo__my_var_54a", "CWE9_Demo__my_var_54b.cpp", "argument", True),
+    }
     assert set(corpus.EDGE_KINDS) | {"01"} == set(corpus.FLOW_SHAPES)
 
 
