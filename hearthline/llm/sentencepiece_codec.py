@@ -86,17 +86,17 @@ class Codec:
             at = end - len(piece) + 1
             if len(piece) > len(longest[at]):
                 longest[at] = piece
-        alive = (1 << len(cut) + 1) - 1
+        failed = bytearray(len(cut) // 8 + 1)  # a bit for each place
         out: list[str] = []
         at, piece = 0, longest[0]
         while True:
             last = out[-1] if out else None
-            while piece is not None and not (alive >> at + len(piece) & 1 and (last is None or self.fits[last, piece])):
+            while piece is not None and (failed[(end := at + len(piece)) >> 3] >> (end & 7) & 1 or (last is not None and not self.fits[last, piece])):
                 piece = self.shorter[piece]
             if piece is None:  # nothing fits here
                 if last is None:
                     raise ValueError("no compatible sequence of pieces")
-                alive &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
                 continue

@@ -67,3 +67,17 @@ def test_rows(spark):
     assert sorted(map(tuple, sc.digest(df, MODEL).collect()), key=order) == sorted(want, key=order)
     assert {r.doc_id: r.decoded.decode() for r in sc.decode(sc.encode(df, MODEL), MODEL).where("doc_id = 1").collect()} == {1: "the cat  sat"}
     assert sc.digest(df.limit(0), MODEL).collect() == []
+
+
+def test_time_grows_with_the_length_of_a_text_without_spaces(both):
+    import time
+
+    own, lib = both
+    r, took = random.Random(4), []
+    for n in (200_000, 800_000):
+        t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        start = time.process_time()
+        ids = own.encode(t)
+        took.append(time.process_time() - start)
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True)
+    assert took[1] < 8 * took[0] + 1, took
