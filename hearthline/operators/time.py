@@ -38,3 +38,45 @@ def ranges_joined(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str
     p = points.withColumn("_b", F.floor(F.col(at) / width))
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
     return p.join(s, "_b").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_b")
+
+
+#: Levels of the dyadic tree over 64-bit numbers.
+LEVELS = 62
+
+
+def dyadic(spans: DataFrame, lo: str, hi: str) -> DataFrame:
+    """spans, a row for each block of [lo, hi): _level and _block of the few aligned blocks of 2^level numbers that make it up.
+
+    There are at most two a level, so a span costs the logarithm of its length, not its length. Spans without a number in them give no row.
+    """
+    # whole numbers only: division by powers of two through shifts keeps 64 bits exact
+    pair = F.expr(
+        f"""flatten(transform(sequence(0, {LEVELS}), k -> filter(array(
+            IF(-shiftright(-{lo}, k) < shiftright({hi}, k) AND (-shiftright(-{lo}, k) & 1) = 1, named_struct('level', k, 'block', -shiftright(-{lo}, k)), NULL),
+            IF(-shiftright(-{lo}, k) < shiftright({hi}, k) AND (shiftright({hi}, k) & 1) = 1, named_struct('level', k, 'block', shiftright({hi}, k) - 1), NULL)), b -> b IS NOT NULL)))"""
+    )
+    out = spans.withColumn("_b", F.explode(pair))
+    return out.select(*spans.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+
+
+def points_in(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
+    """points joined with the spans [lo, hi) that hold them, once each: blocks of a span are disjoint, so a point meets it in one block at most.
+
+    A point goes to the one block of each level that holds it, of the levels that spans use. No width is chosen, so spans from one number to all may be mixed.
+    """
+    cut = dyadic(spans, lo, hi)
+    used = cut.select("_level").distinct()  # 63 rows at most
+    placed = points.where(F.col(at).isNotNull()).crossJoin(F.broadcast(used)).withColumn("_block", F.expr(f"shiftright(`{at}`, _level)"))
+    return placed.join(cut, ["_level", "_block"]).drop("_level", "_block")
+
+
+def overlaps(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str) -> DataFrame:
+    """Pairs of spans of two tables that share a number, once each. Columns are whole numbers under names of their own.
+
+    Two spans overlap if the later start lies in the other: starts of b in spans of a, and starts of a inside spans of b but not at their start.
+    """
+    a, b = (x.where(F.col(lo) < F.col(hi)) for x, lo, hi in ((a, a_lo, a_hi), (b, b_lo, b_hi)))
+    columns = [*a.columns, *b.columns]
+    inner = b.withColumn("_after", F.col(b_lo) + 1)
+    one = points_in(b, a, b_lo, a_lo, a_hi).select(columns)
+    return one.union(points_in(a, inner, a_lo, "_after", b_hi).select(columns))

@@ -138,6 +138,22 @@ def maintenance_hits(spark, d):
     return hits.groupBy("span").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "span_overlaps",
+    """WITH s AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + CASE event_id % 50 WHEN 0 THEN 400000 WHEN 1 THEN 0 ELSE 1 + event_id % 90 END AS hi, event_type FROM events),
+    e AS (SELECT * FROM s WHERE event_type = 'error'), p AS (SELECT * FROM s WHERE event_type = 'purchase')
+    SELECT e.event_id AS error_id, count(*) AS n, min(p.event_id) AS first FROM e JOIN p ON e.lo < p.hi AND p.lo < e.hi AND e.lo < e.hi AND p.lo < p.hi GROUP BY 1""",
+)
+def span_overlaps(spark, d):
+    """Interval join of two span tables: purchases that were going on during each error, spans from none to days."""
+    lo = F.date_trunc("second", "ts").cast("timestamp").cast("bigint")
+    width = F.expr("CASE event_id % 50 WHEN 0 THEN 400000 WHEN 1 THEN 0 ELSE 1 + event_id % 90 END").cast("bigint")
+    e = table(spark, d, "events").select("event_id", lo.alias("lo"), (lo + width).alias("hi"), "event_type")
+    side = lambda kind, p: e.where(F.col("event_type") == kind).select(*[F.col(c).alias(p + c) for c in ("event_id", "lo", "hi")])
+    both = time.overlaps(side("error", "e_"), side("purchase", "p_"), "e_lo", "e_hi", "p_lo", "p_hi")
+    return both.groupBy(F.col("e_event_id").alias("error_id")).agg(F.count(F.lit(1)).alias("n"), F.min("p_event_id").alias("first"))
+
+
 @register(
     "running_value",
     """SELECT event_id, count(*) OVER w AS seen, max(value) OVER w AS top, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
