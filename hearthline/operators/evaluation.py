@@ -42,16 +42,16 @@ def metrics(truth: DataFrame, prediction: DataFrame, key: list[str], attribute:
     )
 
 
-def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float], buckets: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float], buckets: int = 512) -> DataFrame:
     """Exact interpolated quantiles by group, without the values of a group in one task.
 
-    Values are counted, the counts summed up by bucket (at most `buckets` for a group), and only the values of the buckets
-    that hold a wanted rank are put in order.
+    Values are counted, and cut into `buckets` of about as many different values at approximate ranks, so that far outliers fill no bucket with all others; the counts
+    are summed up by bucket, and only the values of the buckets that hold a wanted rank are put in order.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ends = counted.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    part = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1)), F.lit(0))
-    placed = counted.join(ends.select(F.col("g").alias("h"), "lo", "hi"), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", "c", part.alias("b"))
+    ends = counted.groupBy("g").agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 4 * buckets).alias("cuts"), F.sum("c").alias("n"))
+    part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("v"))), F.lit(0))
+    placed = counted.join(ends.select(F.col("g").alias("h"), "cuts"), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", "c", part.alias("b"))
     sums = placed.groupBy("g", "b").agg(F.sum("c").alias("c"))
     sums = sums.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("b")))
     at = lambda p: (F.col("n") - 1) * F.lit(p)

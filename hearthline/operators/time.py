@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators.graph import checkpoints
+
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Counts and error ratio by time window; the same plan serves a stream."""
@@ -23,14 +25,23 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """left with right's last `value` at or before its time, by key; null if there is none.
 
-    One union, one shuffle and one running window instead of a range join, whose matches grow with the square of a key's rows.
+    A scan in two levels, linear in the input: both sides are dealt into slices of (key, time) by range, so that a key with all rows lies in all slices; a running window
+    works inside a slice, and each slice's last state of a key is carried on to the key's later slices. The carried states are a row for each key and slice.
     """
-    columns = left.columns
-    both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
+    columns, kind = left.columns, right.schema[value].dataType
+    both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(kind)}).unionByName(
         right.select(key, ts, F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*columns, f"last_{value}")
+    checkpoints(left.sparkSession)
+    # equal (key, time) go to one slice; written, so that a slice's number holds when a task runs again
+    sliced = both.repartitionByRange(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, ts).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    inside = Window.partitionBy("_slice", key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = sliced.withColumn("_near", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    state = sliced.groupBy("_slice", key).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(ts, "_side"))).alias("_state"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = state.select(F.col("_slice").alias("_s"), F.col(key).alias("_k"), F.last("_state", ignorenulls=True).over(earlier).alias("_before")).where("_before IS NOT NULL")
+    out = near.join(carried, (F.col("_slice") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    return out.select(*columns, F.coalesce("_near", "_before").alias(f"last_{value}"))
 
 
 def ranges_joined(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
