@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline.functions.scalars import json_number
-from hearthline.operators import evaluation, state, time
+from hearthline.operators import evaluation, loops, state, time
 from hearthline.plans.registry import register
 from hearthline.sources.tables import table
 
@@ -41,6 +41,23 @@ def loop_alarms(spark, d):
     return state.over_limit(table(spark, d, "events"), "user_id", F.col("event_type") == "error", 2)
 
 
+@register(
+    "event_loops",
+    """WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    m AS (SELECT s.user_id, s.event_id, s.n, p FROM s JOIN range(1, 9) r(p) ON true JOIN s b ON b.user_id IS NOT DISTINCT FROM s.user_id AND b.n = s.n - p
+        WHERE b.event_type IS NOT DISTINCT FROM s.event_type),
+    g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, p ORDER BY n) AS g FROM m),
+    r AS (SELECT user_id, p, min(n) - p AS first, max(n) AS last, count(*) AS m, max(event_id) FILTER (WHERE n = least_n + 2 * p - 1) AS alarm
+        FROM (SELECT *, min(n) OVER (PARTITION BY user_id, p, g) AS least_n FROM g) GROUP BY user_id, p, g)
+    SELECT user_id, p AS period, (m + p) // p AS repeats, first, m + p AS length, alarm FROM r WHERE m >= 2 * p
+    AND NOT EXISTS (SELECT 1 FROM r q WHERE q.user_id IS NOT DISTINCT FROM r.user_id AND q.p < r.p AND r.p % q.p = 0 AND q.first <= r.first AND q.last >= r.last)""",
+)
+def event_loops(spark, d):
+    """Actors that do a block of up to eight kinds three times or more in a row, with the event that completes the third."""
+    out = loops.loops(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 8, 3)
+    return out.withColumn("alarm", F.col("alarm.event_id"))
+
+
 @register(
     "tumbling_health",
     """SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n,

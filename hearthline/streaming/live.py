@@ -64,6 +64,40 @@ def streak_alarms(events: DataFrame, limit: int) -> DataFrame:
     return rows.transformWithStateInPandas(Streaks(limit), "user_id long, event_id long", "Append", "None")
 
 
+class Loops(StatefulProcessor):
+    """Finds each key's repeated blocks over micro-batches; its state is the last `longest` kinds, a number of events and the last miss at each lag."""
+
+    def __init__(self, longest: int, times: int):
+        self.longest, self.times = longest, times
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, past array<string>, z array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, past, z = self.seen.get() if self.seen.exists() else (0, [], [0] * self.longest)
+        past, z, alarms = list(past), list(z), []
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for at, kind in batch[["event_id", "event_type"]].itertuples(index=False):
+            n, kind = n + 1, None if pd.isna(kind) else kind
+            z = [last if p <= len(past) and past[-p] == kind else n for p, last in enumerate(z, 1)]
+            past = [*past, kind][-self.longest :]
+            alarms += [(at, p) for p, last in enumerate(z, 1) if n - last == (self.times - 1) * p and not any(p % q == 0 and z[q - 1] <= last - p + q for q in range(1, p))]
+        self.seen.update((n, past, z))
+        yield pd.DataFrame({"user_id": [key[0]] * len(alarms), "period": [p for _, p in alarms], "event_id": [at for at, _ in alarms]}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def loop_alarms(events: DataFrame, longest: int = 8, times: int = 3) -> DataFrame:
+    """(user_id, period, event_id) of the event that completes the `times`th block of a loop: what operators.loops gives as alarms, once each.
+
+    As with streak_alarms, events arrive in order across micro-batches and the provider of state is RocksDB's.
+    """
+    rows = events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
+    return rows.transformWithStateInPandas(Loops(longest, times), "user_id long, period long, event_id long", "Append", "None")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there and stops; a restart goes on from the checkpoint, exactly once."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
