@@ -129,6 +129,20 @@ def nearest_by_label(spark, d):
     return vectors.labels_by_nearest(table(spark, d, "embeddings").select("vec_id", "label", fixed.alias("v")))
 
 
+@register(
+    "nearest_vectors",
+    """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings),
+    d AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.v, r.v)]) AS BIGINT) AS far FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+    SELECT query_id, rank, vec_id, far FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10""",
+)
+def nearest_vectors(spark, d):
+    """The ten nearest of all vectors to every fiftieth, by squared distance on integers: an inverted-file index, searched until exact."""
+    fixed = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), fixed.alias("v"))
+    found = vectors.nearest(vectors.indexed(rows), rows.where("id % 50 = 0"), 10)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "far")
+
+
 @register("label_sizes", "SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings GROUP BY label")
 def label_sizes(spark, d):
     e = table(spark, d, "embeddings")

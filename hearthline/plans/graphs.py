@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthline.operators import graph
+from hearthline.operators import graph, matching
 from hearthline.plans.registry import register
 from hearthline.sources.tables import table
 
@@ -114,3 +114,25 @@ def struct_layouts(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("bigint").alias("width"))
     text = F.array_sort(F.transform("fields", lambda f: F.concat_ws(":", f["at"], f["width"])))
     return graph.layouts(rows).select("base", F.array_join(text, ",").alias("fields"))
+
+
+@register(
+    "renamed_functions",
+    """WITH o AS (SELECT 'a' AS build, o_orderkey, o_custkey, o_orderpriority FROM orders UNION ALL SELECT 'b', o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'),
+    k AS (SELECT build, o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS k FROM o GROUP BY build, o_custkey),
+    n AS (SELECT build, 'c' || o_custkey AS id, 'c' || k AS colour FROM k UNION ALL SELECT build, 'o' || o_orderkey, 'o' || o_orderpriority || ';' || k FROM o JOIN k USING (build, o_custkey)),
+    s AS (SELECT colour, count(*) FILTER (WHERE build = 'a') AS n_a, count(*) FILTER (WHERE build = 'b') AS n_b, min('x' || id) FILTER (WHERE build = 'b') AS other FROM n GROUP BY colour)
+    SELECT id, n_a, n_b, CASE WHEN n_a = 1 AND n_b = 1 THEN other END AS match FROM n JOIN s USING (colour) WHERE build = 'a'""",
+)
+def renamed_functions(spark, d):
+    """D32 where names are gone: customers that call orders, of which only the priority is known, and a second build under other names without some of them."""
+    orders = table(spark, d, "orders")
+
+    def build(name, rows, prefix):
+        ends = [F.concat(F.lit(prefix + p), F.col(c).cast("string")) for p, c in (("c", "o_custkey"), ("o", "o_orderkey"))]
+        b = F.lit(name).alias("build")
+        nodes = rows.select(b, ends[0].alias("id"), F.lit(None).cast("string").alias("label")).distinct().union(rows.select(b, ends[1], "o_orderpriority"))
+        return nodes, rows.select(b, ends[0].alias("src"), ends[1].alias("dst"))
+
+    a, b = build("a", orders, ""), build("b", orders.where("o_orderstatus <> 'P'"), "x")
+    return matching.matched(matching.refined(a[0].union(b[0]), a[1].union(b[1])), "a", "b")

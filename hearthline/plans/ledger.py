@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthline.operators import state
+from hearthline.operators.graph import checkpoints
 from hearthline.plans.registry import register
+from hearthline.sources import ledger
 from hearthline.sources.tables import table
 
 
@@ -89,3 +93,20 @@ def missing_claims(spark, d):
     from hearthline.sources.tables import missing
 
     return missing(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), table(spark, d, "events"), "user_id")
+
+
+@register(
+    "claims_as_of",
+    """SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE (day(ts) - 1) // 8 <= 2
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def claims_as_of(spark, d):
+    """Events of a month upserted as four batches of eight days, two of them twice, compacted in between and read as of the third."""
+    checkpoints(spark)
+    path, key, order = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}", ["user_id"], ["ts", "event_id"]
+    events = table(spark, d, "events")
+    for batch in (0, 1, 1, 2, 3, 2):
+        ledger.upsert(events.where((F.floor((F.dayofmonth("ts") - 1) / 8)) == batch), batch, path, key, order)
+        if batch == 1:
+            ledger.compact(spark, path, key, order)
+    return ledger.as_of(spark, path, key, order, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline.functions.scalars import json_number
-from hearthline.operators import evaluation, loops, state, time
+from hearthline.operators import evaluation, loops, sketches, state, time
 from hearthline.plans.registry import register
 from hearthline.sources.tables import table
 
@@ -196,3 +196,20 @@ def recent_by_range(spark, d):
     sec = F.date_trunc("second", "ts").cast("timestamp").cast("bigint")
     w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-3600, 0)
     return table(spark, d, "events").withColumn("sec", sec).select("event_id", F.count(F.lit(1)).over(w).alias("in_hour"))
+
+
+@register(
+    "merged_sketches",
+    """SELECT date_trunc('day', ts) AS span, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within, true AS p95_within FROM events GROUP BY 1""",
+)
+def merged_sketches(spark, d):
+    """Sketches of hours merged by day, held against the exact counts and ranks of the same days."""
+    events = table(spark, d, "events")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("span")
+    merged = sketches.merged(sketches.by_hour(events, "ts", "user_id", "value"), F.date_trunc("day", "hour").cast("timestamp_ntz"), {"median": 0.5, "p95": 0.95})
+    both = events.select(day, "user_id", "value").join(merged.withColumnRenamed("n", "rows"), "span")
+    users, value = F.count_distinct("user_id"), F.col("value")
+    return both.groupBy("span").agg(
+        F.first("rows").alias("n"), users.alias("users"), sketches.within(users, F.first("distinct")).alias("users_within"),
+        sketches.rank_within(value, F.col("median"), 0.5).alias("median_within"), sketches.rank_within(value, F.col("p95"), 0.95).alias("p95_within"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from hearthline.operators.time import windowed
+from hearthline.sources import ledger
 
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int = 8) -> DataFrame:
@@ -98,6 +99,31 @@ def loop_alarms(events: DataFrame, longest: int = 8, times: int = 3) -> DataFram
     return rows.transformWithStateInPandas(Loops(longest, times), "user_id long, period long, event_id long", "Append", "None")
 
 
+def followed(left: DataFrame, right: DataFrame, key: str, within: str) -> DataFrame:
+    """Each left row with every right row of its key that comes at its time or up to `within` after; a left row without any comes once, with nulls.
+
+    The batch form. Right rows give ts and event_id as next_ts and next_id; all columns of left stay.
+    """
+    r = right.select(F.col(key).alias("_key"), F.col("ts").alias("next_ts"), F.col("event_id").alias("next_id"))
+    near = (F.col(key) == F.col("_key")) & F.col("next_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return left.join(r, near, "left").drop("_key")
+
+
+def followed_live(left: DataFrame, right: DataFrame, key: str, within: str, late: str) -> DataFrame:
+    """The streaming twin of `followed` for feeds in which events come late, by up to `late`, and more than once.
+
+    Doubled event_ids are dropped within the watermark. State on both sides is bounded by it: a left row waits for `within` and `late` at most,
+    and is given with nulls once that is over, a right row goes once no left row can meet it. Events behind the watermark are dropped.
+    """
+    once = lambda df: df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return followed(once(left), once(right), key, within)
+
+
+def upserts(changes: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keeps a ledger (sources.ledger) up to date from a feed; a batch that is run again after a failure changes nothing."""
+    return push(changes, lambda batch, i: ledger.upsert(batch, i, path, key, order), checkpoint)
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there and stops; a restart goes on from the checkpoint, exactly once."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
