@@ -165,6 +165,19 @@ def compiled(recorded: DataFrame, extensions: tuple[str, ...] = ("c", "cpp")) ->
     return rows.groupBy("directory").agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("extensions"), F.count(F.lit(1)).alias("files"))
 
 
+def areas_without_source(paths: DataFrame, root: str) -> DataFrame:
+    """(area, files, scripts) for each folder directly below root whose tree holds files (path) but no named source: scripts or declarations only.
+
+    A source is a .c, .cpp or .h file under a name of the corpus, so `testcases.h` is none. One aggregate over the names; no file is read. Files that
+    lie in root itself belong to no area, nor do null paths and those elsewhere.
+    """
+    below = paths.where(F.col("path").contains(f"{root}/")).select(F.substring_index("path", f"{root}/", -1).alias("rest")).where("contains(rest, '/')")
+    name = F.regexp_extract("rest", r"([^/]+)$", 1)
+    source = name.startswith("CWE") & F.regexp_like(name, F.lit(r"\.(?:c|cpp|h)$"))
+    each = below.groupBy(F.substring_index("rest", "/", 1).alias("area")).agg(F.count(F.lit(1)).alias("files"), F.count_if(name.endswith(".bat")).alias("scripts"), F.count_if(source).alias("sources"))
+    return each.where("sources = 0").drop("sources")
+
+
 def flow_edges(recorded: DataFrame) -> DataFrame:
     """Edges between the files of a test case: (src, dst, type, shape, missing). Parts follow each other by letter; a value that is returned flows back.
 

@@ -161,6 +161,21 @@ def directory_extensions(spark, d):
     return corpus.compiled(corpus.files(sources(spark, d)))
 
 
+#: Scripts of areas, of which some have source files among the stand-ins, and the declarations of others.
+SCRIPTS = "SELECT DISTINCT '/t/CWE' || (100 + 3 * p_size) || '_Weak/' || CASE WHEN p_partkey % 7 = 0 THEN 'testcases.h' ELSE 'CWE' || (100 + 3 * p_size) || '.bat' END AS path FROM {part}"
+
+
+@register(
+    "areas_without_source",
+    WITH + f"""SELECT area, count(*) AS files, count(*) FILTER (WHERE path LIKE '%.bat') AS scripts FROM (SELECT path, string_split(path, '/')[3] AS area FROM
+    (SELECT path FROM src UNION ALL {SCRIPTS.format(part="part")})) GROUP BY area HAVING count(*) FILTER (WHERE path LIKE '%/CWE%' AND regexp_matches(path, '/CWE[^/]*[.](c|cpp|h)$')) = 0""",
+)
+def areas_without_source(spark, d):
+    """Folders that have a script or declarations but no source file."""
+    paths = sources(spark, d).select("path").union(spark.sql(SCRIPTS, part=table(spark, d, "part")))
+    return corpus.areas_without_source(paths, "/t")
+
+
 @register("bad_code_only", WITH + "SELECT path, count(*) AS lines FROM r WHERE region IS DISTINCT FROM 'GOOD' AND NOT regexp_matches(text, '^#(ifndef|endif /\\*) OMIT') GROUP BY path".replace("\\\\", "\\"))
 def bad_code_only(spark, d):
     """Lines that are left where the macro omits the good code."""

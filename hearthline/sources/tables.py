@@ -42,6 +42,11 @@ def binaries(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", F.regexp_replace(name, "_symbols$", "").alias("stem"), name.endswith("_symbols").alias("has_symbols"))
 
 
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of every matching file at any depth below root; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+
+
 #: One binary's ground truth: its functions with their types, as extracted from debug information.
 TRUTH_SCHEMA = "binary STRING, functions ARRAY<STRUCT<name: STRING, address: BIGINT, type: STRING>>, _corrupt STRING"
 
