@@ -15,11 +15,12 @@ def closure(inherits: DataFrame) -> DataFrame:
     Paths double in length each round, so rounds follow the logarithm of the depth; each round ends in a checkpoint, and a cycle only ends the search.
     """
     checkpoints(inherits.sparkSession)
+    inherits = inherits.select("class", "base").distinct().checkpoint()
     direct = inherits.where("base IS NOT NULL AND class <> base").select("class", F.col("base").alias("ancestor")).distinct()
     known = direct.withColumn("depth", F.lit(1)).checkpoint()
     size = known.count()
     while True:
-        further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.class")).where("a.class <> b.ancestor")
+        further = known.alias("a").join(known.alias("b").hint("merge"), F.col("a.ancestor") == F.col("b.class")).where("a.class <> b.ancestor")
         further = further.select("a.class", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         grown = known.union(further).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
         now = grown.count()
@@ -39,12 +40,12 @@ def dispatched(receivers: DataFrame, inherits: DataFrame, methods: DataFrame) ->
     lines = closure(inherits)
     concrete = lines.select("class", F.col("ancestor").alias("receiver"))  # classes that an object of the receiver's static class may have
     defined = methods.select(F.col("class").alias("target"), "method", F.col("path").alias("dst")).distinct()
-    binds = lines.join(defined.select("target", "method").distinct(), F.col("ancestor") == F.col("target"))
+    binds = lines.join(defined.select("target", "method").distinct().hint("merge"), F.col("ancestor") == F.col("target"))
     nearest = binds.groupBy("class", "method").agg(F.min("depth").alias("depth"))
-    bound = binds.join(nearest, ["class", "method", "depth"]).select("class", "method", "target").distinct()
-    reach = concrete.join(bound, "class").select("receiver", "method", "target").distinct()
+    bound = binds.join(nearest.hint("merge"), ["class", "method", "depth"]).select("class", "method", "target").distinct()
+    reach = concrete.join(bound.hint("merge"), "class").select("receiver", "method", "target").distinct()
     calls = receivers.withColumnRenamed("class", "receiver")
-    return calls.join(reach, ["receiver", "method"]).join(defined, ["target", "method"]).withColumnRenamed("receiver", "class")
+    return calls.join(reach.hint("merge"), ["receiver", "method"]).join(defined.hint("merge"), ["target", "method"]).withColumnRenamed("receiver", "class")
 
 
 def case_of(path) -> F.Column:
@@ -62,15 +63,17 @@ def object_edges(recorded: DataFrame, facts: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv])
     flows = recorded.where(F.col("flow").isin("81", "82", "83", "84")).select("path", kind[F.col("flow")].alias("type"), case_of(F.col("path")).alias("case"))
     missing = F.concat("case", F.lit("a"))
-    inside = facts.join(flows, "path")
+    checkpoints(facts.sparkSession)
+    # read once by all that follows; sizes are known of files only, not of what their texts hold, so no side is broadcast by them
+    inside = facts.where("kind IN ('class', 'function')").select("path", "kind", "name", "scope", "base").join(flows.hint("merge"), "path").checkpoint()
     classes = inside.where("kind = 'class'").select("case", "type", F.col("name").alias("class"), "base").distinct()
     last = F.element_at(F.split("scope", "::"), -1)
     methods = inside.where("kind = 'function' AND scope IS NOT NULL").select("path", "case", "type", last.alias("class"), F.col("name").alias("method"))
     virtual = methods.where("type = 'virtual' AND NOT startswith(method, '~') AND method <> class")
     roots = classes.where("type = 'virtual' AND base IS NULL").select("case", "class").distinct()
-    sites = roots.join(virtual.select("case", "method").distinct(), "case")
+    sites = roots.join(virtual.select("case", "method").distinct().hint("merge"), "case")
     by_class = dispatched(sites, classes.where("type = 'virtual'").select("class", "base"), virtual.select("class", "method", "path"))
-    alone = virtual.join(classes.select("case").distinct(), "case", "left_anti")
+    alone = virtual.join(classes.select("case").distinct().hint("merge"), "case", "left_anti")
     named = lambda c, m: F.concat_ws("::", c, m)
     edges = by_class.select(missing.alias("src"), "dst", F.lit("virtual").alias("type"), named("class", "method").alias("via"), F.lit(True).alias("src_missing"))
     edges = edges.union(alone.select(missing, "path", F.lit("virtual"), named("class", "method"), F.lit(True)))
@@ -78,5 +81,5 @@ def object_edges(recorded: DataFrame, facts: DataFrame) -> DataFrame:
     made = life.where("method = class")
     edges = edges.union(made.select(missing, "path", F.lit("lifetime"), named("class", "method"), F.lit(True)))
     ended = life.where("startswith(method, '~')").select("case", "class", F.col("path").alias("dst"), F.col("method").alias("end"))
-    edges = edges.union(made.join(ended, ["case", "class"]).select(F.col("path"), "dst", F.lit("lifetime"), named("class", "end"), F.lit(False)))
+    edges = edges.union(made.join(ended.hint("merge"), ["case", "class"]).select(F.col("path"), "dst", F.lit("lifetime"), named("class", "end"), F.lit(False)))
     return edges.distinct()

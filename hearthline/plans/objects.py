@@ -31,7 +31,8 @@ WITH = f"WITH r AS ({ROWS.format(part='part')})"
 
 
 def sources(spark, d):
-    rows = table(spark, d, "part")
+    # a row of a few bytes becomes a text, so rows are dealt out first: their file is too small to be cut into a task for each core
+    rows = table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return spark.sql(FILES.replace("[", "array(").replace("]", ")").replace("array_to_string", "array_join"), part=rows)
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from hearthline.operators import corpus, dispatch, lexer
+from hearthline.plans import objects
 
 SOURCE = r'''
 #include <x.h> // class NotOne { void f() {
@@ -98,3 +99,35 @@ def test_flows_without_a_header(spark):
         ("/d/CWE1_W__v_82a", "/d/CWE1_W__v_82_bad.cpp", "virtual", "CWE1_W__v_82_bad::action", True), ("/d/CWE1_W__v_83a", f, "lifetime", "CWE1_W__v_83_bad::CWE1_W__v_83_bad", True),
         (f, f, "lifetime", "CWE1_W__v_83_bad::~CWE1_W__v_83_bad", False),
     }
+
+
+def counted(spark, rows):
+    """rows as a table that counts how often a row of it is read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, "path string, text string").mapInArrow(count, "path string, text string"), read
+
+
+def test_sources_are_scanned_once(spark):
+    rows = [("/d/CWE1_W__v_82_bad.cpp", "namespace n {\nvoid CWE1_W__v_82_bad::action(int * d)\n{\n}\n}"), ("/d/CWE1_W__v_52b.cpp", "namespace n {\nvoid g()\n{\n}\nvoid f()\n{\n    g();\n}\n}")]
+    source, read = counted(spark, rows)
+    assert [tuple(r) for r in lexer.resolved_calls(lexer.facts(source)).collect()] == [("/d/CWE1_W__v_52b.cpp", "/d/CWE1_W__v_52b.cpp", "g", 7)]
+    assert read.value == len(rows)
+    source, read = counted(spark, rows)
+    dispatch.object_edges(corpus.files(spark.createDataFrame(rows, "path string, text string")), lexer.facts(source)).collect()
+    assert read.value == len(rows)
+    source, read = counted(spark, [("/a.h", "class A {\n};\nclass B : public A {\n};")])
+    found = lexer.facts(source).where("kind = 'class'").selectExpr("name AS class", "base")
+    assert {tuple(r) for r in dispatch.closure(found).collect()} == {("A", "A", 0), ("B", "B", 0), ("B", "A", 1)}
+    assert read.value == 1
+
+
+def test_a_small_file_is_dealt_out_before_its_texts_are_made(spark, tmp_path):
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'t' AS p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = objects.sources(spark, str(tmp_path))
+    assert made.count() == 400 and made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
