@@ -91,3 +91,25 @@ def overlaps(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi:
     inner = b.withColumn("_after", F.col(b_lo) + 1)
     one = points_in(b, a, b_lo, a_lo, a_hi).select(columns)
     return one.union(points_in(a, inner, a_lo, "_after", b_hi).select(columns))
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, value: str) -> DataFrame:
+    """a's spans that share a number with spans of b, with n (how many) and first (their least `value`): what `overlaps` would give, summed up by a's row, without its pairs.
+
+    b is summed up by block before it meets a, and equal spans of a are looked up once, so the work follows the spans, however many overlap.
+    """
+    a, b = (x.where(F.col(lo) < F.col(hi)) for x, lo, hi in ((a, a_lo, a_hi), (b, b_lo, b_hi)))
+    block, tally = ["_level", "_block"], [F.sum("n").alias("n"), F.min("first").alias("first")]
+    spans = a.select(F.col(a_lo).alias("_lo"), F.col(a_hi).alias("_hi")).distinct()
+    others = b.groupBy(F.col(b_lo).alias("_from"), (F.col(b_lo) + 1).alias("_after"), F.col(b_hi).alias("_until")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("first"))
+
+    def placed(points, at, cut):
+        return points.crossJoin(F.broadcast(cut.select("_level").distinct())).withColumn("_block", F.expr(f"shiftright({at}, _level)"))  # 63 levels at most
+
+    cut = dyadic(spans, "_lo", "_hi")
+    starts = placed(others.groupBy("_from").agg(*tally), "_from", cut).groupBy(block).agg(*tally)
+    one = cut.join(starts, block).select("_lo", "_hi", "n", "first")
+    inner = dyadic(others, "_after", "_until").groupBy(block).agg(*tally)
+    begun = placed(spans.select("_lo").distinct(), "_lo", inner).join(inner, block).groupBy("_lo").agg(*tally)
+    found = one.unionByName(spans.join(begun, "_lo")).groupBy("_lo", "_hi").agg(*tally)
+    return a.join(found, (F.col(a_lo) == F.col("_lo")) & (F.col(a_hi) == F.col("_hi"))).drop("_lo", "_hi")

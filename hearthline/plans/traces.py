@@ -167,8 +167,8 @@ def span_overlaps(spark, d):
     width = F.expr("CASE event_id % 50 WHEN 0 THEN 400000 WHEN 1 THEN 0 ELSE 1 + event_id % 90 END").cast("bigint")
     e = table(spark, d, "events").select("event_id", lo.alias("lo"), (lo + width).alias("hi"), "event_type")
     side = lambda kind, p: e.where(F.col("event_type") == kind).select(*[F.col(c).alias(p + c) for c in ("event_id", "lo", "hi")])
-    both = time.overlaps(side("error", "e_"), side("purchase", "p_"), "e_lo", "e_hi", "p_lo", "p_hi")
-    return both.groupBy(F.col("e_event_id").alias("error_id")).agg(F.count(F.lit(1)).alias("n"), F.min("p_event_id").alias("first"))
+    met = time.overlap_counts(side("error", "e_"), side("purchase", "p_"), "e_lo", "e_hi", "p_lo", "p_hi", "p_event_id")
+    return met.groupBy(F.col("e_event_id").alias("error_id")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 @register(

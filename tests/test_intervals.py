@@ -35,3 +35,21 @@ def test_a_span_costs_the_logarithm_of_its_length(spark):
     for i, lo, hi in ((1, 5, 6), (2, -(2**40) + 1, 2**40 - 1), (3, 0, 2**30)):
         parts = sorted(blocks[i])
         assert parts[0][0] == lo and parts[-1][1] == hi and all(p[1] == q[0] for p, q in zip(parts, parts[1:]))
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    r = random.Random(4)
+    a, b = spans(r, 90, "a"), [(*s, i) for i, s in enumerate(spans(r, 80, "b"))]
+    fa, fb = spark.createDataFrame(a, "a string, alo long, ahi long"), spark.createDataFrame(b, "b string, blo long, bhi long, i long")
+    ok = lambda s: s[1] is not None and s[1] < s[2]
+    met = [(x, [y[3] for y in b if ok(x) and ok(y) and x[1] < y[2] and y[1] < x[2]]) for x in a]
+    got = sorted(map(tuple, time.overlap_counts(fa, fb, "alo", "ahi", "blo", "bhi", "i").collect()))
+    assert got == sorted((*x, len(y), min(y)) for x, y in met if y)
+
+
+def test_spans_that_all_overlap_cost_no_pairs(spark):
+    n = 100_000  # 10,000,000,000 pairs
+    fa = spark.range(n).selectExpr("id AS a", "id % 7 AS alo", "100 + id % 3 AS ahi")
+    fb = spark.range(n).selectExpr("id + 5 AS b", "id % 11 AS blo", "90 + id % 2 AS bhi")
+    got = time.overlap_counts(fa, fb, "alo", "ahi", "blo", "bhi", "b").selectExpr("count(*)", "min(n)", "max(n)", "max(first)").first()
+    assert tuple(got) == (n, n, n, 5)
