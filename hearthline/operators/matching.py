@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.operators.graph import checkpoints
 
 
+#: Edges for each shuffle partition, about, which bounds what a task sorts or sums up whatever the graph's size.
+EDGES_A_TASK = 100_000
+
+
+@contextmanager
+def dealt(spark, edges: int):
+    """Shuffles that are run inside have a partition for each EDGES_A_TASK edges, if that is more than there would be; adaptive execution joins small ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), -(-edges // EDGES_A_TASK))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _sums(side: str) -> list:
     """Sums of two hashes of the neighbours' colours, in halves of 32 bits so that no sum overflows: the same for every order of neighbours."""
     out = []
@@ -24,6 +42,11 @@ def refined(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> Da
     digests; neighbours are summed up before the shuffle, so a function that all others call costs a row a task. Ends when a round tells
     no more colours apart, or after `rounds`, after which nodes of one colour look alike up to that distance.
     """
+    with dealt(nodes.sparkSession, edges.count()):
+        return _refined(nodes, edges, rounds)
+
+
+def _refined(nodes: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
     checkpoints(nodes.sparkSession)
     nodes = nodes.dropDuplicates(["build", "id"])
     start = F.md5(F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("?")))

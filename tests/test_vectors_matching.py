@@ -167,3 +167,18 @@ def test_stream_join_agrees_with_batch(spark, tmp_path):
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).where("user_id < 99").collect()))
     batch = live.followed(rows_of(spark, left), rows_of(spark, right), "user_id", "5 minutes")
     assert got == sorted(map(str, batch.collect())) and any("next_id=None" in g for g in got)
+
+
+def test_shuffles_grow_with_the_graph(spark, monkeypatch):
+    """A graph of more edges is refined in more partitions, to the same colours, and the session is left as it was."""
+    nodes = spark.range(400).selectExpr("'a' AS build", "CAST(id AS STRING) AS id", "CAST(NULL AS STRING) AS label")
+    edges = spark.range(1, 400).selectExpr("'a' AS build", "CAST(id AS STRING) AS src", "CAST(id div 3 AS STRING) AS dst")
+    want = sorted(map(tuple, matching.refined(nodes, edges).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(matching, "EDGES_A_TASK", 40)
+        got = matching.refined(nodes, edges)
+        assert got.rdd.getNumPartitions() == 10 and sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
