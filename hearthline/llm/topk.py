@@ -8,10 +8,11 @@ k-th score so far is out, and survivors get exact integer products.
 Bounds are computed in floating point; a candidate goes only if its bound is below by more than the rounding of both vectors' norms can
 explain, so none is lost whatever the magnitudes.
 
-Rows travel as packed blocks. A query block meets every candidate block by an equi-join on a slot and a group number: candidate
-blocks have one slot each and stand once in each group, query blocks have one group each and stand once in each slot (a stated query set
-against all rows, in blocks). A task gives its best rows on at the end of each slot and group, so it holds k rows for GROUP queries
-at most; the last step ranks those.
+Rows travel as packed blocks of integers as wide as their values need. Every pair of a group and a slot is a cell: candidate blocks have
+one slot each and go to its cell in each group, query blocks have one group each and go to its cell in each slot (a stated query set
+against all rows, in blocks). Cells are shuffled, never joined, so nothing is broadcast; in a cell the queries come first and stay, and each candidate
+block is read once. A task holds the queries of a group, of GROUP rows and VALUES components about, with k rows for each; the last step ranks those.
+Slots are a fixed number, so what is sent for a query does not grow with the table or the cluster.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id; vectors of
 another length than the query's are no candidates; rows with the query's own id are no candidates; of several query rows
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import parts, small_batches
+from hearthline.llm.common import small_batches, table
 
 K = 10
 SCALE = 1024
@@ -35,10 +36,12 @@ SCALE = 1024
 LEVELS = (1, 4, 16)
 #: Vectors in a block of candidates or queries, at most.
 BLOCK = 2048
-#: Slots that candidate blocks are dealt into, at least; more where the cluster shuffles into more partitions.
+#: Slots that candidate blocks are dealt into.
 SLOTS = 64
-#: Queries in a group, about.
-GROUP = 1 << 14
+#: Queries in a group, about, and their components.
+GROUP, VALUES = 1 << 15, 1 << 21
+#: Integers that blocks are packed in.
+WIDTHS = ("<i2", "<i4", "<i8")
 #: Rounding of a bound, in units of the last place for each component: several times what its sums and roots can lose.
 ROUNDING = 16 * np.finfo(float).eps
 LONG = (1 << 63) - 1
@@ -53,7 +56,11 @@ def quantised(embeddings: DataFrame) -> DataFrame:
 
 
 def blocks(vectors: DataFrame) -> DataFrame:
-    """Vectors packed by length: dims, n, ids and values as little-endian 64-bit integers."""
+    """Vectors packed by length: dims, n, ids as little-endian 64-bit integers, values as the least of WIDTHS that holds them."""
+
+    def narrow(values):
+        lo, hi = (values.min(), values.max()) if values.size else (0, 0)
+        return values.astype(next(w for w in WIDTHS if np.iinfo(w).min <= lo and hi <= np.iinfo(w).max))
 
     def pack(batches):
         for pdf in batches:
@@ -64,7 +71,7 @@ def blocks(vectors: DataFrame) -> DataFrame:
                 for i in range(0, len(some), BLOCK):
                     part = some.iloc[i : i + BLOCK]
                     values = np.stack([np.asarray(x, "<i8") for x in part["v"]]) if d else np.zeros((len(part), 0), "<i8")
-                    rows.append((int(d), len(part), part["vec_id"].to_numpy("<i8").tobytes(), values.tobytes()))
+                    rows.append((int(d), len(part), part["vec_id"].to_numpy("<i8").tobytes(), narrow(values).tobytes()))
             yield pd.DataFrame(rows, columns=["dims", "n", "ids", "values"])
 
     return vectors.mapInPandas(pack, "dims int, n int, ids binary, values binary")
@@ -75,7 +82,7 @@ class Block:
 
     def __init__(self, dims: int, n: int, ids: bytes, values: bytes):
         self.ids = np.frombuffer(ids, "<i8")
-        self.v = np.frombuffer(values, "<i8").reshape(n, dims)
+        self.v = np.frombuffer(values, f"<i{len(values) // (n * dims) if dims else 8}").reshape(n, dims)
         self.f = self.v.astype(float)
         self.levels = []
         for segments in LEVELS:
@@ -93,7 +100,7 @@ def products(q: np.ndarray, c: Block, at: np.ndarray, top: int) -> np.ndarray:
     if bound < 1 << 53:
         return (c.f[at] @ q.astype(float)).astype(np.int64)
     if bound < 1 << 63:
-        return c.v[at] @ q
+        return c.v[at].astype(np.int64) @ q.astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in c.v[at]], object)
 
 
@@ -128,29 +135,30 @@ def topk(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of each row whose id is divisible by `every`."""
     small_batches(embeddings.sparkSession)
     vectors = quantised(embeddings)
-    asked = vectors.where(F.expr(f"vec_id % {every} = 0")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = max(SLOTS, parts(embeddings.sparkSession))
-    groups = max(1, -(-embeddings.where(F.expr(f"vec_id % {every} = 0")).select("vec_id").distinct().count() // GROUP))
+    asked = table(vectors.where(F.expr(f"vec_id % {every} = 0")).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows, values = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    groups = max(1, -(-rows // GROUP), -(-values // VALUES))
     repeated = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     dealt = lambda k: F.pmod(F.xxhash64("ids"), F.lit(k)).cast("int")
-    q = blocks(asked.select("vec_id", "v")).withColumn("grp", dealt(groups))
-    q = q.select(repeated(n).alias("slot"), "grp", "dims", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("values").alias("qv"))
-    c = blocks(vectors).withColumn("slot", dealt(n)).withColumn("grp", repeated(groups))
+    q = blocks(asked.select("vec_id", "v")).withColumn("grp", dealt(groups)).withColumn("slot", repeated(SLOTS)).withColumn("kind", F.lit(0))
+    c = blocks(vectors).withColumn("slot", dealt(SLOTS)).withColumn("grp", repeated(groups)).withColumn("kind", F.lit(1))
+    cells = q.unionByName(c).repartitionById(SLOTS * groups, F.col("grp") * SLOTS + F.col("slot")).sortWithinPartitions("grp", "slot", "kind")
 
     def run(batches):
         best: dict = {}
-        seen: dict = {}
+        here: dict[int, list[Block]] = {}
         own = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if own != (r.slot, r.grp):
+                if own != (r.grp, r.slot):
                     yield from ranked(best)
-                    best, seen, own = {}, {}, (r.slot, r.grp)
-                if (r.dims, r.qids) not in seen:
-                    if len(seen) >= 16:
-                        seen.clear()
-                    seen[r.dims, r.qids] = Block(r.dims, r.qn, r.qids, r.qv)
-                search(seen[r.dims, r.qids], Block(r.dims, r.n, r.ids, r.values), best, k)
+                    best, here, own = {}, {}, (r.grp, r.slot)
+                if not r.kind:
+                    here.setdefault(r.dims, []).append(Block(r.dims, r.n, r.ids, r.values))
+                elif r.dims in here:
+                    c = Block(r.dims, r.n, r.ids, r.values)
+                    for q in here[r.dims]:
+                        search(q, c, best, k)
         yield from ranked(best)
 
     def ranked(best):
@@ -160,7 +168,7 @@ def topk(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
             shown = [min(max(x, -LONG - 1), LONG) for x in s]
             yield pd.DataFrame({"query_id": q, "vec_id": i, "score": shown, "exact": [(x + (1 << 191)).to_bytes(24, "big") for x in s]})
 
-    found = c.join(q, ["slot", "grp", "dims"]).mapInPandas(run, "query_id long, vec_id long, score long, exact binary")
+    found = cells.mapInPandas(run, "query_id long, vec_id long, score long, exact binary")
     order = Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 

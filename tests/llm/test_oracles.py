@@ -130,3 +130,28 @@ def test_empty_tables(spark):
 
     assert quality.digest(docs).collect() == [] and line_dedup.digest(docs).collect() == []
     assert topk.topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_topk_sends_no_copies_through_the_driver(spark):
+    """Copies of the queries were broadcast, as many as shuffle partitions, since their number was not in the estimate of the join."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8 if i % 7 else 4).round(3).tolist()) for i in range(900)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        out = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+        got = sorted(map(tuple, out.collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == plain_topk([(i, np.floor(np.array(v, np.float32).astype(float) * 1024).astype(int).tolist()) for i, v in rows])
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(("top", "width"), [(1, 2), ((1 << 15) - 1, 2), (1 << 15, 4), (1 << 31, 8)])
+def test_blocks_are_as_narrow_as_their_values(spark, top, width):
+    df = spark.createDataFrame([(i, [top, -top, i]) for i in range(5)], "vec_id long, v array<long>").coalesce(1)
+    found = topk.blocks(df).collect()
+    assert sum(len(r["values"]) for r in found) == 5 * 3 * width
+    v = np.concatenate([topk.Block(r.dims, r.n, bytes(r.ids), bytes(r["values"])).v for r in found])
+    assert v.tolist() == [[top, -top, i] for i in range(5)]
