@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import Cached, lean, table
+from hearthline.llm.common import Cached, lean, spare, table
 from hearthline.llm.words import WordIds, units
 
 WINDOW = 2048
@@ -34,11 +34,11 @@ BUCKET_ROWS = 1 << 18
 
 
 #: Bytes of texts whose new words are gathered, and words that one call encodes.
-SOME_BYTES, SOME_WORDS = 1 << 20, 200
+SOME_BYTES, SOME_WORDS = 1 << 18, 200
 #: Stands between words in a call.
 MARK = "~"
-#: Parts of words whose ids a Python worker keeps in each of two generations.
-KEPT_PARTS = 100_000
+#: Words whose ids a Python worker keeps, and parts of words in each of two generations: two workers share an executor with its JVM.
+KEPT_WORDS, KEPT_PARTS = 600_000, 50_000
 #: How the tokenizer normalises and splits. Where it is just this, words of plain letters and marks
 #: are split here, so that their parts are encoded once; all other words go to the tokenizer whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -107,7 +107,7 @@ def word_ids(shared) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _kept[key] = WordIds(word_encoder(Tokenizer.from_buffer(shared.value))[1])
+        _kept[key] = WordIds(word_encoder(Tokenizer.from_buffer(shared.value))[1], KEPT_WORDS)
     return _kept[key]
 
 
@@ -135,6 +135,8 @@ def tokenised(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: i
                 rows += [(doc_id, a, min(window, n - a), zlib.crc32(whole[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
+            del pdf, data
+            spare()
             yield out
 
     texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

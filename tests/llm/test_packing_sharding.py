@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 import brute
 from hearthline.llm import packing, sharding
+from hearthline.llm.words import WordIds, units
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -135,3 +137,31 @@ def test_words_in_arrays_give_the_ids_of_texts(monkeypatch):
             for (i, _), part in zip(unit, ids.encode([raw for _, raw in unit]), strict=True):
                 got[i] += part
         assert got == want
+
+
+def test_what_an_encoder_holds():
+    """Stages of the pipeline leave two workers of an executor little memory: what a stretch of text takes is bounded, and so is the table."""
+    with open(TOKENIZER, "rb") as f:
+        shared = type("Shared", (), {"value": f.read()})
+    packing._kept.clear()
+    ids = packing.word_ids(shared)
+    r = random.Random(4)
+    text = " ".join(r.choice(["the", "Straße", "can't", "x1y22", "--;"]) for _ in range(500_000)).encode()
+    tracemalloc.start()
+    n = sum(len(x) for some in units([text], packing.SOME_BYTES) for x in ids.encode([raw for _, raw in some]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4 * len(Tokenizer.from_file(TOKENIZER).encode(text.decode(), add_special_tokens=False).ids)
+    assert peak < 40e6
+    assert ids.kept_words < 1_000_000 and {x.a.itemsize for x in (ids.at, ids.size, ids.first, ids.length)} == {4}
+
+
+def test_tables_that_start_over_give_the_same_ids():
+    words = [f"w{i % 300}x" for i in range(2000)]
+    tok = Tokenizer.from_file(TOKENIZER)
+    many = packing.word_encoder(tok)[1]
+    few, all_ = WordIds(many, 20), WordIds(many)
+    texts_ = [" ".join(words[i : i + 50]).encode() for i in range(0, 2000, 50)]
+    for t in texts_:
+        assert few.encode([t]) == all_.encode([t])
+    assert few.count < 100 < all_.count == 300
